@@ -64,3 +64,43 @@ def price_per_m2_by_city_age(features: DataFrame) -> DataFrame:
             F.round(F.avg(F.col("price_value") / F.col("building_size")), 4).alias("avg_price_per_m2"),
         )
     )
+
+
+def apply_floor_features(df: DataFrame, cfg: dict = PRICE, split: str = "split") -> DataFrame:
+    """P2 floors: number (D7) -> negatives to 0 (D10) -> train mode (E2) -> int -> bins."""
+    from abode.operators.impute import fill_mode
+
+    df = df.withColumns({
+        "floor": S.clamp_negative(S.to_number("floor")),
+        "total_floors_count": S.clamp_negative(S.to_number("total_floors_count")),
+    })
+    train = df.where(F.col(split) == "train")
+    df = fill_mode(df, "floor", train)
+    df = fill_mode(df, "total_floors_count", train)
+    df = df.withColumns({
+        "floor_cat": interval_bin("floor", cfg["floor_bins"], cfg["floor_labels"]),
+        "total_floors_cat": interval_bin("total_floors_count", cfg["total_floors_bins"], cfg["total_floors_labels"]),
+    })
+    return df.drop("floor", "total_floors_count")
+
+
+def prepare_price_dataset(df: DataFrame, cfg: dict = PRICE, exact: bool = False, key: str = "listing_id",
+                          pre_1370_labels=(), materialize: bool = True) -> DataFrame:
+    """P1 -> split (J1, or J3 with ``exact``) -> train rows need coordinates -> floors -> locations.
+
+    Returns one frame with a ``split`` column (train/val); write it ``partitionBy("split")``.
+    """
+    from abode.operators.impute import fill_location
+    from abode.operators.split import exact_two_way_split, two_way_split
+
+    feats = prepare_price_features(df, cfg, pre_1370_labels, key)
+    sp = cfg["split"]
+    splitter = exact_two_way_split if exact else two_way_split
+    data = splitter(feats, key, sp["test_size"], sp["random_state"])
+    data = data.where((F.col("split") != "train")
+                      | (F.col("location_latitude").isNotNull() & F.col("location_longitude").isNotNull()))
+    if materialize:
+        from abode.session import materialize as _write
+        data = _write(data, "price-split", "split")
+    data = apply_floor_features(data, cfg)
+    return fill_location(data)

@@ -60,3 +60,20 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint (written to the shared checkpoint folder, survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def materialize(df, name: str, partition_by=None):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Used where several statistics are fitted from one intermediate table: every later
+    scan reads the written files (column pruning, ``split`` partition pruning) instead of
+    recomputing the joins above it, and the lineage is cut, so a lost executor re-reads
+    files rather than re-running the upstream stages.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+    writer.parquet(path)
+    return spark.read.parquet(path)
