@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-                partitions: int | None = None) -> DataFrame:
-    """Inclusive running sum of ``value`` per ``keys`` group in ``order``.
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict,
+                 partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums ``{out: value}`` per ``keys`` group in ``order``.
 
     Rows that tie on every order key get distinct positions in an unspecified order, so
     callers pre-aggregate to unique ``(keys, order)`` first when ties matter.
@@ -32,13 +32,21 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
         "_pid", F.spark_partition_id())
     w_local = (Window.partitionBy("_pid", *keys).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.withColumn("_local", F.sum(value).over(w_local))
-    totals = local.groupBy("_pid", *keys).agg(F.sum(value).alias("_tot"))
+    local = ranged.withColumns({f"_local_{o}": F.sum(v).over(w_local) for o, v in values.items()})
+    totals = local.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_tot_{o}") for o, v in values.items()])
     w_off = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *keys, F.coalesce(F.sum("_tot").over(w_off), F.lit(0)).alias("_off"))
+    offsets = totals.select("_pid", *keys, *[F.coalesce(F.sum(f"_tot_{o}").over(w_off), F.lit(0)).alias(f"_off_{o}")
+                                             for o in values])
     # offsets has at most partitions x groups rows: a proven bound, so it is broadcast.
     joined = local.join(F.broadcast(offsets), on=["_pid", *keys], how="inner")
-    return joined.withColumn(out, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off")
+    joined = joined.withColumns({o: F.col(f"_off_{o}") + F.col(f"_local_{o}") for o in values})
+    return joined.drop("_pid", *[f"_local_{o}" for o in values], *[f"_off_{o}" for o in values])
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
+                partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum of one column (see :func:`running_sums`)."""
+    return running_sums(df, keys, order, {out: value}, partitions)
 
 
 def long_numeric(df: DataFrame, cols: Sequence[str], drop_null: bool = True) -> DataFrame:
