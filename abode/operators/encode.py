@@ -31,6 +31,7 @@ class _TEParams(Params):
     smoothing = Param(Params._dummy(), "smoothing", "smoothing strength", TypeConverters.toFloat)
     minSamplesLeaf = Param(Params._dummy(), "minSamplesLeaf", "sigmoid offset", TypeConverters.toFloat)
     mode = Param(Params._dummy(), "mode", "sigmoid | additive", TypeConverters.toString)
+    prior = Param(Params._dummy(), "prior", "fitted global target mean", TypeConverters.toFloat)
 
     def __init__(self):
         super().__init__()
@@ -98,9 +99,11 @@ class SmoothedTargetEncoder(Estimator, _TEParams, MLReadable, MLWritable):
         # The fitted model owns a written copy of the (small, per-level) table: fitting is
         # one job, later transforms read files instead of re-running the aggregate.
         from abode.session import materialize
-        table = materialize(table.withColumn("prior", prior), "te-table")
+        table = materialize(table, "te-table")
         model = SmoothedTargetEncoderModel(table)
         self._copyValues(model)
+        # the prior is a single number of model state (like a fitted mean), kept as a param
+        model._set(prior=float(df.agg(F.avg(label)).first()[0]))
         return model
 
     def write(self):
@@ -119,8 +122,8 @@ class SmoothedTargetEncoderModel(Model, _TEParams, MLReadable, MLWritable):
         self.table = table
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        prior = self.table.agg(F.first("prior")).scalar()
-        return apply_target_encoding(df, self.table.drop("prior"), prior, self.getOrDefault("inputCols"),
+        prior = F.lit(self.getOrDefault("prior"))
+        return apply_target_encoding(df, self.table, prior, self.getOrDefault("inputCols"),
                                      self.getOrDefault("outputSuffix"))
 
     def write(self):

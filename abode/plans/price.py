@@ -104,3 +104,43 @@ def prepare_price_dataset(df: DataFrame, cfg: dict = PRICE, exact: bool = False,
         data = _write(data, "price-split", "split")
     data = apply_floor_features(data, cfg)
     return fill_location(data)
+
+
+def fit_price_statistics(train: DataFrame) -> dict:
+    """Statistics the scoring path needs, fitted on the prepared train split.
+
+    Returns four scalars (two floor modes, two coordinate means: single numbers pulled to
+    the driver) and the per-city coordinate table (a DataFrame, joined lazily).
+    """
+    from abode.operators.impute import mode_value
+
+    t = train.withColumns({
+        "floor": S.clamp_negative(S.to_number("floor")),
+        "total_floors_count": S.clamp_negative(S.to_number("total_floors_count")),
+    })
+    row = t.agg(F.avg("location_latitude").alias("lat"), F.avg("location_longitude").alias("lon")).first()
+    modes = t.select(mode_value(t, "floor").alias("f"), mode_value(t, "total_floors_count").alias("tf")).limit(1).first()
+    cities = (t.where(F.col("city_slug").isNotNull()).groupBy("city_slug")
+              .agg(F.avg("location_latitude").alias("_cm_lat"), F.avg("location_longitude").alias("_cm_lon")))
+    return {"floor_mode": modes["f"], "total_floors_mode": modes["tf"], "lat_mean": row["lat"],
+            "lon_mean": row["lon"], "cities": cities}
+
+
+def apply_price_statistics(feats: DataFrame, stats: dict, cfg: dict = PRICE) -> DataFrame:
+    """Scoring-path preparation of P1 features with fitted train statistics (works on streams:
+    literals plus a stream-static left join on the city table)."""
+    df = feats.withColumns({
+        "floor": F.coalesce(S.clamp_negative(S.to_number("floor")), F.lit(stats["floor_mode"])).cast("int"),
+        "total_floors_count": F.coalesce(S.clamp_negative(S.to_number("total_floors_count")),
+                                         F.lit(stats["total_floors_mode"])).cast("int"),
+    })
+    df = df.withColumns({
+        "floor_cat": interval_bin("floor", cfg["floor_bins"], cfg["floor_labels"]),
+        "total_floors_cat": interval_bin("total_floors_count", cfg["total_floors_bins"], cfg["total_floors_labels"]),
+    }).drop("floor", "total_floors_count")
+    df = df.join(stats["cities"], "city_slug", "left")
+    df = df.withColumns({
+        "location_latitude": F.coalesce("location_latitude", "_cm_lat", F.lit(stats["lat_mean"])),
+        "location_longitude": F.coalesce("location_longitude", "_cm_lon", F.lit(stats["lon_mean"])),
+    })
+    return df.drop("_cm_lat", "_cm_lon")
