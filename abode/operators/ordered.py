@@ -65,31 +65,37 @@ def value_cdf(longdf: DataFrame, key: str = "column_name", value: str = "value",
     return cdf.withColumn("cum_prev", F.col("cum") - F.col("cnt"))
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles (``percentile``/``quantile_cont``) per column.
+def exact_quantiles_long(longdf: DataFrame, probs: Sequence[float], key: str = "column_name",
+                         value: str = "value") -> DataFrame:
+    """Exact interpolated quantiles per ``key`` of a long ``(key, value)`` frame.
 
-    Returns ``(column, prob, quantile)``. Work: one unpivot + value-count aggregate, one
-    range-partitioned running sum, one broadcast range lookup of ``columns x probs x 2`` ranks.
+    Returns ``(key, prob, quantile)``. Work: one value-count aggregate, one range-partitioned
+    running sum, one broadcast range lookup of ``keys x probs x 2`` target ranks.
     """
-    longdf = long_numeric(df, cols)
-    cdf = value_cdf(longdf)
-    n = cdf.groupBy("column_name").agg(F.max("cum").alias("n"))
-    targets = (n.select("column_name", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+    cdf = value_cdf(longdf, key, value)
+    n = cdf.groupBy(key).agg(F.max("cum").alias("n"))
+    targets = (n.select(key, "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
                .withColumn("pos", F.col("prob") * (F.col("n") - 1))
                .withColumn("r_lo", F.floor("pos").cast("long"))
                .withColumn("r_hi", F.ceil("pos").cast("long")))
-    ranks = targets.select(F.col("column_name").alias("_col"), "prob", "pos", F.explode(F.array(
+    ranks = targets.select(F.col(key).alias("_key"), "prob", "pos", F.explode(F.array(
         F.struct(F.lit("lo").alias("side"), F.col("r_lo").alias("r")),
         F.struct(F.lit("hi").alias("side"), F.col("r_hi").alias("r")))).alias("t")).select(
-        "_col", "prob", "pos", "t.side", "t.r")
-    # ranks has columns x probs x 2 rows (bounded by the request): broadcast range lookup.
-    hit = cdf.join(F.broadcast(ranks), (F.col("column_name") == F.col("_col")) & (F.col("cum_prev") <= F.col("r"))
-                   & (F.col("r") < F.col("cum"))).select("column_name", "prob", "pos", "side", "value")
-    piv = hit.groupBy("column_name", "prob", "pos").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("value"))).alias("v_lo"),
-        F.max(F.when(F.col("side") == "hi", F.col("value"))).alias("v_hi"))
+        "_key", "prob", "pos", "t.side", "t.r")
+    # ranks has keys x probs x 2 rows; keys are columns or report groups (bounded): broadcast.
+    hit = cdf.join(F.broadcast(ranks), (F.col(key) == F.col("_key")) & (F.col("cum_prev") <= F.col("r"))
+                   & (F.col("r") < F.col("cum"))).select(key, "prob", "pos", "side", value)
+    piv = hit.groupBy(key, "prob", "pos").agg(
+        F.max(F.when(F.col("side") == "lo", F.col(value))).alias("v_lo"),
+        F.max(F.when(F.col("side") == "hi", F.col(value))).alias("v_hi"))
     frac = F.col("pos") - F.floor("pos")
-    return piv.select("column_name", "prob", (F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
+    return piv.select(key, "prob", (F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles (``percentile``/``quantile_cont``) per column:
+    ``(column_name, prob, quantile)``."""
+    return exact_quantiles_long(long_numeric(df, cols), probs)
 
 
 def quantile_columns(q: DataFrame, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
