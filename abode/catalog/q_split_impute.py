@@ -66,8 +66,7 @@ FROM r"""))
 def e01(spark, sf_dir):
     from abode.operators.projections import rent_rows
     r = rent_rows(listing_view(spark, sf_dir)).select("listing_id", "cat2_slug", "cat3_slug")
-    out = I.group_rare(r, "cat3_slug", 0.01, "Other", fit_df=r)
-    return I.group_rare(out, "cat2_slug", 0.01, "Other", fit_df=r)
+    return I.collapse_rare(r, I.frequent_levels(r, ["cat3_slug", "cat2_slug"], 0.01), "Other")
 
 
 _FLOOR_SQL = "(CASE WHEN {n} < 0 THEN 0.0 ELSE {n} END)"

@@ -60,16 +60,26 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFr
         F.sum(gap * (F.col("next_value") - F.col("value"))).alias("wasserstein"), F.max(gap).alias("ks"),
         F.first("n_distinct").alias("n_distinct"))
     std = _long(ref, cols, "ref", False).groupBy("column_name").agg(F.stddev_samp("value").alias("ref_std"))
-    out = stats.join(F.broadcast(std), "column_name", "left")
+    js = _js_from_counts(counts)
+    out = stats.join(F.broadcast(std), "column_name", "left").join(F.broadcast(js), "column_name", "left")
     return out.withColumn("wasserstein", F.coalesce("wasserstein", F.lit(0.0))).withColumn(
         "wasserstein_norm", F.col("wasserstein") / F.col("ref_std"))
 
 
 def categorical_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """L3: Jensen-Shannon distance of level shares per column (full outer join of levels)."""
+    """L3: Jensen-Shannon distance of level shares per column.
+
+    Levels of both sides come from one aggregate over the union (a level seen on one side
+    only has a zero count on the other), so no outer join is needed.
+    """
     both = _long(ref, cols, "ref", True).unionByName(_long(cur, cols, "cur", True))
     counts = both.groupBy("column_name", "value").agg(
         F.count_if(F.col("side") == "ref").alias("c_ref"), F.count_if(F.col("side") == "cur").alias("c_cur"))
+    return _js_from_counts(counts)
+
+
+def _js_from_counts(counts: DataFrame) -> DataFrame:
+    """JS distance per column from ``(column_name, value, c_ref, c_cur)`` counts."""
     tot = counts.groupBy("column_name").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
     j = counts.join(F.broadcast(tot), "column_name")
     p, q = F.col("c_ref") / F.col("n_ref"), F.col("c_cur") / F.col("n_cur")
@@ -90,8 +100,7 @@ def drift_report(ref: DataFrame, cur: DataFrame, subset: Sequence[str] | None =
     parts = []
     if nums:
         nd = numeric_drift(ref, cur, nums)
-        jd = categorical_drift(ref, cur, nums)
-        both = nd.join(jd, "column_name", "left")
+        both = nd
         as_cat = F.col("n_distinct") <= max_categorical_distinct
         parts.append(both.select(
             "column_name", F.when(as_cat, "categorical").otherwise("numeric").alias("kind"),

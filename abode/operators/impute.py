@@ -19,21 +19,41 @@ def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left", bounded
     return big.join(F.broadcast(small) if bounded else small, on=on, how=how)
 
 
+def frequent_levels(fit_df: DataFrame, cols: Sequence[str], min_freq: float = 0.01) -> dict:
+    """E1 fit: per column, the levels whose share of non-null rows is at least ``min_freq``.
+
+    One unpivot + one aggregate for all columns. A column has at most ``1/min_freq``
+    frequent levels, so the fitted vocabulary (like a ``StringIndexer``'s labels) is a
+    proven-small list brought to the driver.
+    """
+    longdf = fit_df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
+        [], list(cols), "column_name", "_lvl").where(F.col("_lvl").isNotNull())
+    counts = longdf.groupBy("column_name", "_lvl").agg(F.count(F.lit(1)).alias("_cnt"))
+    # one row per column: a bounded table, broadcast back onto the per-level counts
+    totals = counts.groupBy("column_name").agg(F.sum("_cnt").alias("_tot"))
+    freq = counts.join(F.broadcast(totals), "column_name").where(
+        F.col("_cnt") / F.col("_tot") >= F.lit(float(min_freq)))
+    out = {c: [] for c in cols}
+    for r in freq.select("column_name", "_lvl").collect():
+        out[r["column_name"]].append(r["_lvl"])
+    return out
+
+
+def collapse_rare(df: DataFrame, vocab: dict, other: str = "Other") -> DataFrame:
+    """E1 apply: levels outside the fitted vocabulary -> ``other``; null stays null."""
+    return df.withColumns({
+        c: F.when(F.col(c).isNull(), F.lit(None).cast("string")).when(F.col(c).isin(*levels), F.col(c))
+        .otherwise(F.lit(other)) for c, levels in vocab.items()})
+
+
 def group_rare(df: DataFrame, col: str, min_freq: float = 0.01, other: str = "Other",
                fit_df: DataFrame | None = None) -> DataFrame:
     """Levels whose share of non-null rows is strictly below ``min_freq`` -> ``other``; null stays.
 
-    Shares come from ``fit_df`` (default: ``df`` itself). Frequent levels number at most
-    ``1/min_freq``, so the table of frequent levels is broadcast.
+    Shares come from ``fit_df`` (default: ``df`` itself).
     """
-    src = (fit_df if fit_df is not None else df).where(F.col(col).isNotNull())
-    total = src.agg(F.count(F.lit(1))).scalar()
-    counts = src.groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
-    frequent = counts.where(F.col("_cnt") / total >= F.lit(float(min_freq))).select(
-        F.col(col).alias("_lvl"), F.lit(True).alias("_keep"))
-    j = df.join(F.broadcast(frequent), F.col(col) == F.col("_lvl"), "left")
-    return j.withColumn(col, F.when(F.col(col).isNull(), F.lit(None).cast("string"))
-                        .when(F.col("_keep"), F.col(col)).otherwise(F.lit(other))).drop("_lvl", "_keep")
+    vocab = frequent_levels(fit_df if fit_df is not None else df, [col], min_freq)
+    return collapse_rare(df, vocab, other)
 
 
 def mode_value(df: DataFrame, col: str) -> Column:
