@@ -189,7 +189,8 @@ def one_hot_stages(cols: Sequence[str]) -> list:
     return [
         null_level_stage(cols),
         StringIndexer(inputCols=lvl, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"),
+        # the indexer's "keep" bucket is the last category; dropLast removes exactly that slot
+        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True),
     ]
 
 
