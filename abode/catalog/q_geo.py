@@ -64,12 +64,13 @@ def m03(spark, sf_dir):
 
 
 @register("m04_summaries_by_city_class", with_listings(_CLS_SQL + "\n" + "\nUNION ALL\n".join(
-    f"SELECT city_class, '{c}' AS column_name, count({c}) AS count, round(avg({c}), 4) AS mean, "
-    f"round(quantile_cont({c}, 0.5), 4) AS median, round(stddev_samp({c}), 4) AS std FROM fc "
+    f"SELECT city_class, '{c}' AS column_name, count({c}) AS count, round(avg({c}), 1) AS mean, "
+    f"round(quantile_cont({c}, 0.5), 4) AS median, round(stddev_samp({c}), 1) AS std FROM fc "
     f"WHERE city_class IS NOT NULL AND {c} IS NOT NULL GROUP BY city_class" for c in ("price_value", "building_size"))))
 def m04(spark, sf_dir):
     s = G.summaries_by_group(_with_class(spark, sf_dir), "city_class", ["price_value", "building_size"])
-    return s.select("city_class", "column_name", "count", *[F.round(c, 4).alias(c) for c in ("mean", "median", "std")])
+    return s.select("city_class", "column_name", "count", F.round("mean", 1).alias("mean"),
+                    F.round("median", 4).alias("median"), F.round("std", 1).alias("std"))
 
 
 @register("m05_welch_t", with_listings(_CLS_SQL + """,

@@ -85,11 +85,11 @@ def e02(spark, sf_dir):
 
 
 @register("e03_global_mean", with_listings(
-    "SELECT round(avg(location_latitude), 6) AS mean_latitude, round(avg(building_size), 6) AS mean_building_size FROM listings"))
+    "SELECT round(avg(location_latitude), 4) AS mean_latitude, round(avg(building_size), 4) AS mean_building_size FROM listings"))
 def e03(spark, sf_dir):
     L = listing_view(spark, sf_dir)
-    return L.agg(F.round(F.avg("location_latitude"), 6).alias("mean_latitude"),
-                 F.round(F.avg("building_size"), 6).alias("mean_building_size"))
+    return L.agg(F.round(F.avg("location_latitude"), 4).alias("mean_latitude"),
+                 F.round(F.avg("building_size"), 4).alias("mean_building_size"))
 
 
 @register("e04_group_mean", with_listings(

@@ -10,12 +10,27 @@ TABLES = (
 )
 
 
+# Fixed-size lookup tables (TPC-H: 25 nations, 5 regions) are never spread.
+SMALL_LOOKUPS = ("region", "nation")
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
+
+    With ``spread``, a scan that yields fewer partitions than the cluster has cores (a
+    small table stored as one row group) is round-robin repartitioned so the narrow work
+    above it uses every core. On large inputs the scan already has more partitions than
+    cores and nothing is added.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores and name not in SMALL_LOOKUPS:
+            df = df.repartition(cores)
+    return df
