@@ -27,5 +27,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from abode.catalog import (  # noqa: F401
-        q_flows, q_scalars, q_filters, q_profile, q_split_impute, q_contracts_io, q_models, q_drift, q_stream, q_geo,
+        q_flows, q_scalars, q_filters, q_profile, q_split_impute, q_contracts_io, q_models, q_drift, q_stream, q_geo, q_jobs,
     )

@@ -155,3 +155,19 @@ def a03(spark, sf_dir):
 def a04(spark, sf_dir):
     d = two_way_split(prepare_price_features(listing_view(spark, sf_dir)), "listing_id", 0.2, 42)
     return A.write_splits(d, scratch_path(spark, "price-splits"))
+
+
+_NOT_NULL = [r for r in B.price_rules() if r.kind == "not_null"]
+_RANGE = [r for r in B.price_rules() if r.kind == "range"]
+
+
+@register("b02_not_null_counts", with_listings("\nUNION ALL\n".join(
+    _rule_sql(r, "listings", None, r.column in _NUMERIC_LISTING) for r in _NOT_NULL)))
+def b02(spark, sf_dir):
+    return B.contract_report(listing_view(spark, sf_dir), _NOT_NULL, split=None)
+
+
+@register("b03_range_counts", with_listings("\nUNION ALL\n".join(
+    _rule_sql(r, "listings", None, r.column in _NUMERIC_LISTING) for r in _RANGE)))
+def b03(spark, sf_dir):
+    return B.contract_report(listing_view(spark, sf_dir), _RANGE, split=None)

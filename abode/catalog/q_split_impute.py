@@ -101,12 +101,12 @@ def e04(spark, sf_dir):
 
 
 @register("g01_group_mean_window", with_listings(
-    "SELECT listing_id, round(coalesce(location_latitude, avg(location_latitude) OVER (PARTITION BY city_slug)), 6) "
+    "SELECT listing_id, round(coalesce(location_latitude, avg(location_latitude) OVER (PARTITION BY city_slug)), 4) "
     "AS location_latitude FROM listings"))
 def g01(spark, sf_dir):
     L = listing_view(spark, sf_dir).select("listing_id", "city_slug", "location_latitude")
-    return I.fill_group_mean_window(L, "city_slug", "location_latitude").select(
-        "listing_id", F.round("location_latitude", 6).alias("location_latitude"))
+    return I.fill_group_mean(L, "city_slug", "location_latitude").select(
+        "listing_id", F.round("location_latitude", 4).alias("location_latitude"))
 
 
 @register("p2_price_dataset", price_dataset_sql())
@@ -123,3 +123,17 @@ def p3(spark, sf_dir):
 @register("p4_credit_dataset", credit_dataset_sql())
 def p4(spark, sf_dir):
     return _round_loc(prepare_credit_dataset(listing_view(spark, sf_dir)))
+
+
+@register("f01_f02_location_price", f"""WITH d AS ({price_dataset_sql()})
+SELECT listing_id, split, location_latitude, location_longitude FROM d""")
+def f01(spark, sf_dir):
+    d = _round_loc(prepare_price_dataset(listing_view(spark, sf_dir)))
+    return d.select("listing_id", "split", *_LOC)
+
+
+@register("f02a_location_credit_three_way", f"""WITH d AS ({credit_dataset_sql()})
+SELECT listing_id, split, location_latitude, location_longitude FROM d""")
+def f02a(spark, sf_dir):
+    d = _round_loc(prepare_credit_dataset(listing_view(spark, sf_dir)))
+    return d.select("listing_id", "split", *_LOC)

@@ -82,14 +82,17 @@ def group_mean(df: DataFrame, key: str, cols: Sequence[str], suffix: str = "_mea
     return df.groupBy(key).agg(*[F.avg(c).alias(f"{c}{suffix}") for c in cols])
 
 
-def fill_group_mean_window(df: DataFrame, key: str, col: str) -> DataFrame:
-    """G1: null -> mean of its key group, keeping row grain (window form).
+def fill_group_mean(df: DataFrame, key: str, col: str) -> DataFrame:
+    """G1: null -> mean of its key group, keeping row grain.
 
-    The join form in :func:`fill_location` is preferred: a window puts a hot key's rows in
-    one task, the join only ships a per-key table.
+    Written as a per-key aggregate joined back rather than ``avg().over(partitionBy(key))``:
+    a window would put every row of a hot key in one task, the aggregate combines map-side
+    and the join ships only the per-key table (AQE broadcasts it or splits a hot key).
+    Rows with a null key take the mean of the null-key group, as the window form does.
     """
-    w = Window.partitionBy(key)
-    return df.withColumn(col, F.coalesce(F.col(col), F.avg(col).over(w)))
+    means = df.groupBy(key).agg(F.avg(col).alias("_gm")).withColumnRenamed(key, "_gk")
+    j = df.join(means, F.col(key).eqNullSafe(F.col("_gk")), "left")
+    return j.withColumn(col, F.coalesce(F.col(col), F.col("_gm"))).drop("_gk", "_gm")
 
 
 def fill_location(df: DataFrame, city: str = "city_slug", cols: Sequence[str] = ("location_latitude", "location_longitude"),
