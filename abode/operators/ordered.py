@@ -25,22 +25,34 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
 
     Rows that tie on every order key get distinct positions in an unspecified order, so
     callers pre-aggregate to unique ``(keys, order)`` first when ties matter.
+
+    The range bounds come from sampling rows whose order after a shuffle is not fixed, so
+    two evaluations of the range exchange may cut differently. The local sums and the
+    per-partition totals are therefore computed in ONE pass and written once to the shared
+    checkpoint folder; offsets and the final join both read those files, so the result
+    never depends on exchange reuse.
     """
+    from abode.session import materialize
+
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *[F.col(c) for c in list(keys) + list(order)]).withColumn(
         "_pid", F.spark_partition_id())
     w_local = (Window.partitionBy("_pid", *keys).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.withColumns({f"_local_{o}": F.sum(v).over(w_local) for o, v in values.items()})
-    totals = local.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_tot_{o}") for o, v in values.items()])
+    w_part = Window.partitionBy("_pid", *keys)
+    local = ranged.withColumns({**{f"_local_{o}": F.sum(v).over(w_local) for o, v in values.items()},
+                                **{f"_ptot_{o}": F.sum(v).over(w_part) for o, v in values.items()}})
+    local = materialize(local, "running-sums")
+    totals = local.groupBy("_pid", *keys).agg(*[F.max(f"_ptot_{o}").alias(f"_tot_{o}") for o in values])
     w_off = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *keys, *[F.coalesce(F.sum(f"_tot_{o}").over(w_off), F.lit(0)).alias(f"_off_{o}")
                                              for o in values])
     # offsets has at most partitions x groups rows: a proven bound, so it is broadcast.
     joined = local.join(F.broadcast(offsets), on=["_pid", *keys], how="inner")
     joined = joined.withColumns({o: F.col(f"_off_{o}") + F.col(f"_local_{o}") for o in values})
-    return joined.drop("_pid", *[f"_local_{o}" for o in values], *[f"_off_{o}" for o in values])
+    return joined.drop("_pid", *[f"_local_{o}" for o in values], *[f"_off_{o}" for o in values],
+                       *[f"_ptot_{o}" for o in values])
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
@@ -58,11 +70,15 @@ def long_numeric(df: DataFrame, cols: Sequence[str], drop_null: bool = True) ->
 
 
 def value_cdf(longdf: DataFrame, key: str = "column_name", value: str = "value", weight: str | None = None) -> DataFrame:
-    """Per ``key``: distinct values with count ``cnt``, inclusive cumulative ``cum`` and ``cum_prev``."""
+    """Per ``key``: distinct values with count ``cnt``, inclusive cumulative ``cum`` and ``cum_prev``.
+
+    The running sum underneath is written once to the shared checkpoint folder, so every
+    later use (row counts, rank lookups) reads files.
+    """
     w = F.sum(weight) if weight else F.count(F.lit(1))
     counts = longdf.groupBy(key, value).agg(w.cast("long").alias("cnt"))
-    cdf = running_sum(counts, [key], [value], "cnt", "cum")
-    return cdf.withColumn("cum_prev", F.col("cum") - F.col("cnt"))
+    cdf = running_sum(counts, [key], [value], "cnt", "cum").withColumn("cum_prev", F.col("cum") - F.col("cnt"))
+    return cdf
 
 
 def exact_quantiles_long(longdf: DataFrame, probs: Sequence[float], key: str = "column_name",

@@ -140,3 +140,18 @@ def test_drift_zero_on_identical_and_categorical_rule(spark):
     assert rep["small"]["kind"] == "categorical" and rep["x"]["kind"] == "numeric"
     shifted = df.withColumn("x", F.col("x") + 50)
     assert {r["column_name"]: r["drift"] for r in drift_report(df, shifted).collect()}["x"] is True
+
+
+def test_running_sum_consistent_without_exchange_reuse(spark):
+    """Range bounds are sampled from shuffled rows; the result must not depend on AQE reusing the exchange."""
+    from abode.operators.ordered import running_sums
+    prev = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        base = spark.range(20000).select((F.col("id") % 7).alias("g"), (F.col("id") * 7919 % 10007).alias("v"))
+        counts = base.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))   # output order of a shuffle
+        rs = running_sums(counts, ["g"], ["v"], {"cum": "c"}).toPandas().sort_values(["g", "v"])
+        want = rs.groupby("g")["c"].cumsum()
+        assert (rs["cum"].values == want.values).all()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", prev)
