@@ -66,6 +66,26 @@ def mode_value(df: DataFrame, col: str) -> Column:
     return counts.agg(F.min_by(col, F.struct(-F.col("_cnt"), F.col(col)))).scalar()
 
 
+def mode_values(df: DataFrame, cols: Sequence[str]) -> Column:
+    """E2 for several columns of one type in ONE pass: a struct scalar subquery ``{col: mode}``.
+
+    One unpivot + value-count aggregate (map-side combine), then per column ``min_by`` over
+    ``(-count, value)`` restricted to that column's rows (rows of other columns have a null
+    ordering and are skipped).
+    """
+    longdf = df.select(*[F.col(c) for c in cols]).unpivot([], list(cols), "_c", "_v").where(F.col("_v").isNotNull())
+    counts = longdf.groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+    picks = [F.min_by("_v", F.when(F.col("_c") == c, F.struct(-F.col("_cnt"), F.col("_v")))).alias(c) for c in cols]
+    return counts.agg(F.struct(*picks)).scalar()
+
+
+def fill_modes(df: DataFrame, cols: Sequence[str], fit_df: DataFrame, cast: str | None = "int") -> DataFrame:
+    """E2 applied to several columns with one fitting pass: null -> train mode, then truncating cast."""
+    m = mode_values(fit_df, cols)
+    return df.withColumns({c: (F.coalesce(F.col(c), m.getField(c)).cast(cast) if cast
+                               else F.coalesce(F.col(c), m.getField(c))) for c in cols})
+
+
 def fill_mode(df: DataFrame, col: str, fit_df: DataFrame, cast: str | None = "int") -> DataFrame:
     """E2 applied: null -> train mode, then truncating cast."""
     filled = F.coalesce(F.col(col), mode_value(fit_df, col))
@@ -115,13 +135,23 @@ def fill_location(df: DataFrame, city: str = "city_slug", cols: Sequence[str] =
     out = lookup_join(df, stats, on=city, how="left")
     tr_stats = lookup_join(tr, stats, on=city, how="left") if fallback_imputed_for else None
     is_train = F.col(split) == train
+    # all global means of train in one pass (one scalar subquery returning a struct)
+    means = tr.agg(F.struct(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)])).scalar()
+    imputed = None
+    if fallback_imputed_for:
+        exprs = []
+        for i, c in enumerate(cols):
+            ov = means.getField(f"m{i}")
+            tv = F.when(F.col(city).isNull(), ov).otherwise(F.coalesce(F.col(c), F.col(f"_cm_{i}"), ov))
+            exprs.append(F.avg(tv).alias(f"i{i}"))
+        imputed = tr_stats.agg(F.struct(*exprs)).scalar()
     for i, c in enumerate(cols):
         cm = F.col(f"_cm_{i}")
-        overall = global_mean(tr, c)
+        overall = means.getField(f"m{i}")
         train_val = F.when(F.col(city).isNull(), overall).otherwise(F.coalesce(F.col(c), cm, overall))
         new = F.when(is_train, train_val).otherwise(F.coalesce(F.col(c), cm, overall))
         if fallback_imputed_for:
-            imputed_mean = tr_stats.agg(F.avg(train_val)).scalar()
+            imputed_mean = imputed.getField(f"i{i}")
             alt = F.coalesce(F.col(c), F.when(F.col("_known"), F.coalesce(cm, overall)), imputed_mean)
             new = F.when(F.col(split).isin(*fallback_imputed_for), alt).otherwise(new)
         out = out.withColumn(f"_new_{i}", new)

@@ -68,15 +68,13 @@ def price_per_m2_by_city_age(features: DataFrame) -> DataFrame:
 
 def apply_floor_features(df: DataFrame, cfg: dict = PRICE, split: str = "split") -> DataFrame:
     """P2 floors: number (D7) -> negatives to 0 (D10) -> train mode (E2) -> int -> bins."""
-    from abode.operators.impute import fill_mode
+    from abode.operators.impute import fill_modes
 
     df = df.withColumns({
         "floor": S.clamp_negative(S.to_number("floor")),
         "total_floors_count": S.clamp_negative(S.to_number("total_floors_count")),
     })
-    train = df.where(F.col(split) == "train")
-    df = fill_mode(df, "floor", train)
-    df = fill_mode(df, "total_floors_count", train)
+    df = fill_modes(df, ["floor", "total_floors_count"], df.where(F.col(split) == "train"))
     df = df.withColumns({
         "floor_cat": interval_bin("floor", cfg["floor_bins"], cfg["floor_labels"]),
         "total_floors_cat": interval_bin("total_floors_count", cfg["total_floors_bins"], cfg["total_floors_labels"]),
