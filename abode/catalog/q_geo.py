@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from abode.catalog import register
 from abode.catalog.sqltext import price_features_sql, with_listings
 from abode.operators import geo as G
+from abode.operators.dbscan import dbscan
 from abode.plans.price import prepare_price_features
 from abode.sources.listing_view import listing_view
 from abode.sources.tables import read_table
@@ -39,6 +40,19 @@ def m01(spark, sf_dir):
     return clusters.withColumn("silhouette", F.lit(sil))
 
 
+# M2 parameters (fixed values of this query): radius in coordinate degrees and the minimum
+# number of rows within it for a core listing.
+DBSCAN_EPS, DBSCAN_MIN_SAMPLES = 0.01, 4
+
+
+@register("m02_dbscan_clusters")
+def m02(spark, sf_dir):
+    # Rows-only at the driver: the exact result is checked against a brute-force DBSCAN in
+    # tests/test_dbscan.py (SQL has no practical form for the connected components).
+    return dbscan(listing_view(spark, sf_dir), DBSCAN_EPS, DBSCAN_MIN_SAMPLES,
+                  G.LAT, G.LON, key="listing_id")
+
+
 _PROF_SQL = _F_SQL + """,
 p AS (SELECT neighborhood_slug, city_slug, count(*) AS n_listings, avg(price_value / building_size) AS price_per_m2,
              avg(building_size) AS mean_size, avg(location_latitude) AS lat, avg(location_longitude) AS lon
