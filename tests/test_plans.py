@@ -46,8 +46,21 @@ def test_split_partition_pruning(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in plan
 
 
-def test_running_sum_uses_range_partitioning(spark):
+def test_running_sum_uses_range_partitioning(spark, monkeypatch):
+    # The range-partitioned pass is written once to the checkpoint folder; its plan (not the
+    # final one, which reads the written files) must hold the range exchange and no
+    # single-partition window.
+    import abode.session as S
     from abode.operators.ordered import running_sum
+    seen = []
+    real = S.materialize
+
+    def spy(df, name, partition_by=None):
+        seen.append(_plan(df))
+        return real(df, name, partition_by)
+
+    monkeypatch.setattr(S, "materialize", spy)
     rs = running_sum(spark.range(100).withColumn("one", F.lit(1)), [], ["id"], "one", "r")
-    plan = _plan(rs)
-    assert "rangepartitioning" in plan.lower()
+    assert [r.r for r in rs.orderBy("id").collect()] == list(range(1, 101))
+    assert seen and "rangepartitioning" in seen[0].lower()
+    assert "singlepartition" not in seen[0].lower()
