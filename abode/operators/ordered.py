@@ -6,7 +6,8 @@ every value of one column in one task, so instead:
 
 1. range-partition by ``(group keys, order keys)`` (a hot group is split across tasks by
    its order keys, Spark samples the boundaries),
-2. run the window inside each range partition (``partitionBy(_pid, keys)``),
+2. sort inside each range partition and add running sums there (an Arrow-batched pass; a
+   window would need a second exchange),
 3. add the totals of all earlier range partitions, a table of at most
    ``partitions x groups`` rows that is broadcast.
 """
@@ -19,6 +20,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _local_running_sums(keys: Sequence[str], outs: dict):
+    """Per range partition: inclusive running sums per ``keys`` group over rows that arrive
+    sorted by ``(keys, order)``, carried across Arrow batches. ``outs`` maps output column to
+    input column."""
+    import numpy as np
+    from pyspark import TaskContext
+
+    def fn(batches):
+        pid = TaskContext.get().partitionId()
+        last_key, carry = None, {o: 0 for o in outs}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            n = len(pdf)
+            if keys:
+                # rows are sorted by the keys, so groups are contiguous runs
+                grp = pdf.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy()
+                ends = pdf[list(keys)].iloc[[0, n - 1]].astype(object)
+                ends = ends.where(ends.notna(), None)
+                first_key, end_key = (tuple(r) for r in ends.itertuples(index=False, name=None))
+            else:
+                grp, first_key, end_key = np.ones(n, dtype=np.int64), (), ()
+            cont = first_key == last_key
+            for o, v in outs.items():
+                col = pdf[v].fillna(0)
+                cs = col.groupby(grp, sort=False).cumsum()
+                if cont:
+                    cs = cs + np.where(grp == grp[0], carry[o], 0)
+                pdf[f"_local_{o}"] = cs.values
+                carry[o] = cs.iloc[-1]
+            last_key = end_key
+            pdf["_pid"] = np.int32(pid)
+            yield pdf
+    return fn
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict,
                  partitions: int | None = None) -> DataFrame:
     """Inclusive running sums ``{out: value}`` per ``keys`` group in ``order``.
@@ -26,33 +63,40 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     Rows that tie on every order key get distinct positions in an unspecified order, so
     callers pre-aggregate to unique ``(keys, order)`` first when ties matter.
 
+    One exchange: a range exchange on ``(keys, order)``. Without an explicit ``partitions``
+    it starts from the session's shuffle partition number (with AQE, ``initialPartitionNum``)
+    and AQE coalesces neighbouring ranges to the advisory size, so partition sizes follow
+    the data; coalesced partitions are contiguous ranges, so partition ids keep the order.
+    Inside each partition a local sort and an Arrow-batched pass add the running sums (a
+    window would need a second, hash exchange on ``(partition, keys)``).
+
     The range bounds come from sampling rows whose order after a shuffle is not fixed, so
-    two evaluations of the range exchange may cut differently. The local sums and the
-    per-partition totals are therefore computed in ONE pass and written once to the shared
-    checkpoint folder; offsets and the final join both read those files, so the result
-    never depends on exchange reuse.
+    two evaluations of the range exchange may cut differently. The local sums are therefore
+    written once to the shared checkpoint folder; the per-partition totals, offsets and the
+    final join all read those files, so the result never depends on exchange reuse.
     """
+    from pyspark.sql import types as T
+
     from abode.session import materialize
 
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(c) for c in list(keys) + list(order)]).withColumn(
-        "_pid", F.spark_partition_id())
-    w_local = (Window.partitionBy("_pid", *keys).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    w_part = Window.partitionBy("_pid", *keys)
-    local = ranged.withColumns({**{f"_local_{o}": F.sum(v).over(w_local) for o, v in values.items()},
-                                **{f"_ptot_{o}": F.sum(v).over(w_part) for o, v in values.items()}})
+    cols = [F.col(c) for c in list(keys) + list(order)]
+    ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
+    ranged = ranged.sortWithinPartitions(*cols)
+    fields = list(df.schema.fields)
+    for o, v in values.items():
+        integral = isinstance(df.schema[v].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        fields.append(T.StructField(f"_local_{o}", T.LongType() if integral else T.DoubleType()))
+    fields.append(T.StructField("_pid", T.IntegerType()))
+    local = ranged.mapInPandas(_local_running_sums(list(keys), dict(values)), T.StructType(fields))
     local = materialize(local, "running-sums")
-    totals = local.groupBy("_pid", *keys).agg(*[F.max(f"_ptot_{o}").alias(f"_tot_{o}") for o in values])
+    totals = local.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_tot_{o}") for o, v in values.items()])
     w_off = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *keys, *[F.coalesce(F.sum(f"_tot_{o}").over(w_off), F.lit(0)).alias(f"_off_{o}")
                                              for o in values])
     # offsets has at most partitions x groups rows: a proven bound, so it is broadcast.
     joined = local.join(F.broadcast(offsets), on=["_pid", *keys], how="inner")
     joined = joined.withColumns({o: F.col(f"_off_{o}") + F.col(f"_local_{o}") for o in values})
-    return joined.drop("_pid", *[f"_local_{o}" for o in values], *[f"_off_{o}" for o in values],
-                       *[f"_ptot_{o}" for o in values])
+    return joined.drop("_pid", *[f"_local_{o}" for o in values], *[f"_off_{o}" for o in values])
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,

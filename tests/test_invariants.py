@@ -155,3 +155,28 @@ def test_running_sum_consistent_without_exchange_reuse(spark):
         assert (rs["cum"].values == want.values).all()
     finally:
         spark.conf.set("spark.sql.exchange.reuse", prev)
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_running_sums_across_batches_hot_group_and_null_key(spark, keys):
+    """Local sums carry across Arrow batches and range partitions; a hot group spans many of both."""
+    from abode.operators.ordered import running_sums
+    prev = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        base = spark.range(3000).select(
+            F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 10 < 7, F.lit("hot"))
+             .otherwise(F.concat(F.lit("g"), (F.col("id") % 3).cast("string"))).alias("g"),
+            (F.col("id") * 7919 % 10007).alias("v"), (F.col("id") % 5).alias("c"), (F.col("id") % 3 * 0.5).alias("d"))
+        rs = running_sums(base, keys, ["v"], {"cum": "c", "cumd": "d"}, partitions=6).toPandas()
+        rs["g"] = rs["g"].fillna("<null>")
+        grp = ["g"] if keys else []
+        rs = rs.sort_values(grp + ["v"])
+        if grp:
+            want_c, want_d = rs.groupby("g")["c"].cumsum(), rs.groupby("g")["d"].cumsum()
+        else:
+            want_c, want_d = rs["c"].cumsum(), rs["d"].cumsum()
+        assert (rs["cum"].values == want_c.values).all()
+        assert np.allclose(rs["cumd"].values, want_d.values)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
