@@ -108,3 +108,17 @@ def test_registered_query_matches_brute_force_on_driver_tables(spark):
                         DBSCAN_EPS, DBSCAN_MIN_SAMPLES)
     assert got == want
     assert any(c >= 0 for _, c in got.values())
+
+
+@pytest.mark.parametrize("gap,linked", [(0.999, True), (1.001, False)])
+def test_dense_cells_linked_only_through_a_deep_close_pair(spark, gap, linked):
+    # Two dense clouds, every point core, each far heavier than `light`; the only pair within
+    # eps is one point of each cloud at distance gap * eps, so the quadtree has to descend.
+    eps, rng = 1.0, np.random.default_rng(5)
+    a = rng.uniform([-1.6, 0.0], [-0.5, 0.6], size=(300, 2))
+    b = rng.uniform([0.5, 0.0], [1.6, 0.6], size=(300, 2))
+    pts = np.vstack([a, b, [[-gap * eps / 2, 0.3], [gap * eps / 2, 0.3]]])
+    keys = np.arange(len(pts))
+    got = _run(spark, keys, pts[:, 0], pts[:, 1], eps, 4, light=8)
+    assert got == brute_dbscan(keys, pts[:, 0], pts[:, 1], eps, 4)
+    assert (got[0][1] == got[300][1]) == linked
