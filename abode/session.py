@@ -20,6 +20,34 @@ DEFAULT_CONF = {
 }
 
 
+# Target bytes per shuffle partition and per scan split on a cluster.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def scale_settings(input_bytes: int, total_cores: int) -> dict:
+    """Partition sizing for a run over ``input_bytes`` of parquet on ``total_cores`` cores.
+
+    * Scans are cut into ``PARTITION_BYTES`` splits.
+    * Shuffles start from about one partition per ``PARTITION_BYTES`` of input, and at least
+      three waves of the cores. AQE then merges small neighbours to the advisory size and
+      splits skewed join partitions.
+    * Range exchanges (ordered statistics, exact splits) take no fixed count, so they start
+      from the same number. At 100 TB that is ~800k partitions of ~128 MB each, so no range
+      partition outgrows a task's memory.
+
+    Apply with ``spark.conf.set`` before building the queries; a cluster's own settings win
+    where it already sets them.
+    """
+    n = max(3 * total_cores, -(-int(input_bytes) // PARTITION_BYTES))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES),
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * PARTITION_BYTES),
+    }
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "abode") -> SparkSession:
     """Local session for tests and the bench; on a cluster use the cluster's own builder."""
     builder = SparkSession.builder.master(master).appName(app)

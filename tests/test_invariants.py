@@ -180,3 +180,11 @@ def test_running_sums_across_batches_hot_group_and_null_key(spark, keys):
         assert np.allclose(rs["cumd"].values, want_d.values)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
+
+
+def test_scale_settings_size_partitions_from_input():
+    from abode.session import PARTITION_BYTES, scale_settings
+    big = scale_settings(100 * 1024 ** 4, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // PARTITION_BYTES
+    assert big["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == big["spark.sql.shuffle.partitions"]
+    assert int(scale_settings(10 ** 6, 8)["spark.sql.shuffle.partitions"]) == 24
