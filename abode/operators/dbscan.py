@@ -216,8 +216,8 @@ def _dense_links(dloc: DataFrame, dvert: DataFrame, eps: float, side: float, lig
         checked = (lite.join(pa, ["ai", "aj"]).join(pb, ["bi", "bj"])
                    .where(_dist_ok(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), eps))
                    .select("src", "dst"))
-        now = cut_lineage(whole.unionByName(checked).distinct())
-        found = now if found is None else cut_lineage(found.unionByName(now).distinct())
+        now = whole.unionByName(checked)
+        found = cut_lineage((now if found is None else found.unionByName(now)).distinct())
         heavy = amb.where((F.col("na") >= light) & (F.col("nb") >= light)).join(
             found, ["src", "dst"], "left_anti")
         kids = _offsets([(0, 0), (0, 1), (1, 0), (1, 1)])
