@@ -59,7 +59,15 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFr
     stats = j.groupBy("column_name").agg(
         F.sum(gap * (F.col("next_value") - F.col("value"))).alias("wasserstein"), F.max(gap).alias("ks"),
         F.first("n_distinct").alias("n_distinct"))
-    std = _long(ref, cols, "ref", False).groupBy("column_name").agg(F.stddev_samp("value").alias("ref_std"))
+    # Reference std from the per-value counts (two passes over distinct values: mean, then
+    # squared deviations), so the raw reference rows are not scanned a second time.
+    # As stddev_samp: null below two reference rows. ref_mean has one row per column: broadcast.
+    n_ref = F.sum("c_ref")
+    ref_mean = counts.groupBy("column_name").agg(
+        F.when(n_ref > 0, F.sum(F.col("c_ref") * F.col("value")) / n_ref).alias("_mu"))
+    std = (counts.join(F.broadcast(ref_mean), "column_name").groupBy("column_name").agg(
+        F.when(n_ref > 1, F.sqrt(F.sum(F.col("c_ref") * (F.col("value") - F.col("_mu")) ** 2) / (n_ref - 1)))
+        .alias("ref_std")))
     js = _js_from_counts(counts)
     out = stats.join(F.broadcast(std), "column_name", "left").join(F.broadcast(js), "column_name", "left")
     return out.withColumn("wasserstein", F.coalesce("wasserstein", F.lit(0.0))).withColumn(
