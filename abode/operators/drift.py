@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from abode.operators.ordered import running_sums
 from abode.operators.profile import numeric_columns
+from abode.session import materialize
 
 TARGETS = ("price_value", "total_credit")
 
@@ -48,6 +49,8 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFr
     counts = both.groupBy("column_name", "value").agg(
         F.count_if(F.col("side") == "ref").alias("c_ref"), F.count_if(F.col("side") == "cur").alias("c_cur"),
         F.lit(1).alias("one"))
+    # Written once: the CDF pass, totals, level shares and the reference std all read it.
+    counts = materialize(counts, "drift-counts")
     cdf = running_sums(counts, ["column_name"], ["value"], {"cum_ref": "c_ref", "cum_cur": "c_cur", "rank": "one"})
     tot = counts.groupBy("column_name").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"),
                                             F.count(F.lit(1)).alias("n_distinct"))
