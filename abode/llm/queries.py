@@ -4,11 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abode.llm import quality_rules
+from abode.llm import mixing, quality_rules, token_counts
 from abode.llm.registry import documents, register, table
+from abode.session import materialize
 
 
 @register("op4_quality_rules", quality_rules.oracle())
 def op4(spark, sf_dir):
     out = quality_rules.apply_rules(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op3_mix_sources", mixing.oracle())
+def op3(spark, sf_dir):
+    sized = documents(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    out = mixing.mix(materialize(sized, "mix-sizes"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+MAX_TOKENS = 512
+
+
+@register("op9_token_counts")
+def op9(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = token_counts.count_tokens(docs, token_counts.tokenizer_path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
