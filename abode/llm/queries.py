@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abode.llm import mixing, quality_rules, token_counts
+from abode.llm import chat_format, mixing, quality_rules, secret_scan, token_counts
 from abode.llm.registry import documents, register, table
 from abode.session import materialize
 
@@ -30,3 +30,27 @@ def op9(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = token_counts.count_tokens(docs, token_counts.tokenizer_path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
+
+
+@register("op2_chat_format", chat_format.oracle())
+def op2(spark, sf_dir):
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                    F.lit(chat_format.PLANTED).alias("text"))
+    return chat_format.read_back(chat_format.format_chats(chats.unionByName(planted)))
+
+
+@register("op10_secret_scan")
+def op10(spark, sf_dir):
+    found = secret_scan.find_secrets(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+    def number(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    return found.select("doc_id", *[number(k) for k in secret_scan.BASE_KINDS],
+                        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
