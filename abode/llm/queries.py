@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abode.llm import chat_format, mixing, quality_rules, secret_scan, token_counts
+from abode.llm import chat_format, mixing, ngram_join, quality_rules, secret_scan, token_counts
 from abode.llm.registry import documents, register, table
 from abode.session import materialize
 
@@ -54,3 +54,8 @@ def op10(spark, sf_dir):
     base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
     return found.select("doc_id", *[number(k) for k in secret_scan.BASE_KINDS],
                         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+@register("op8_ngram_join")
+def op8(spark, sf_dir):
+    return ngram_join.components(documents(spark, sf_dir).select("doc_id", "text"))
