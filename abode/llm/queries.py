@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abode.llm import chat_format, mixing, ngram_join, quality_rules, secret_scan, token_counts
+from abode.llm import chat_format, imatch, mixing, ngram_join, quality_rules, secret_scan, token_counts
 from abode.llm.registry import documents, register, table
 from abode.session import materialize
 
@@ -59,3 +59,8 @@ def op10(spark, sf_dir):
 @register("op8_ngram_join")
 def op8(spark, sf_dir):
     return ngram_join.components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@register("op6_imatch")
+def op6(spark, sf_dir):
+    return imatch.compare_with_next(documents(spark, sf_dir).select("doc_id", "text"))
