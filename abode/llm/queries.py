@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abode.llm import chat_format, imatch, mixing, ngram_join, quality_rules, secret_scan, token_counts
+from abode.llm import chat_format, imatch, mixing, ngram_join, quality_model, quality_rules, secret_scan, token_counts
 from abode.llm.registry import documents, register, table
 from abode.session import materialize
 
@@ -64,3 +64,14 @@ def op8(spark, sf_dir):
 @register("op6_imatch")
 def op6(spark, sf_dir):
     return imatch.compare_with_next(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+GOOD_FROM = 0.7
+
+
+@register("op1_quality_model")
+def op1(spark, sf_dir):
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    out = quality_model.score(documents(spark, sf_dir).select("doc_id", "text"), labels)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
