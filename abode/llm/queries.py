@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abode.llm import chat_format, imatch, mixing, ngram_join, quality_model, quality_rules, secret_scan, token_counts
+from abode.llm import chat_format, imatch, mixing, ngram_join, piece_sampling, quality_model, quality_rules, secret_scan, token_counts
 from abode.llm.registry import documents, register, table
 from abode.session import materialize
 
@@ -75,3 +75,12 @@ def op1(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
     out = quality_model.score(documents(spark, sf_dir).select("doc_id", "text"), labels)
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
+@register("op5_piece_sampling")
+def op5(spark, sf_dir):
+    path = token_counts.tokenizer_path("piece_bpe_32k.model")
+    pieces = piece_sampling.encode(documents(spark, sf_dir).select("doc_id", "text"), path)
+    out = piece_sampling.decode(pieces, path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("pieces_hash"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
