@@ -22,6 +22,8 @@ name.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,77 +31,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from abode.llm.arrowtext import by_bytes, strings, utf8
-from abode.llm.wordhash import mix64
+from abode.llm.wordhash import BYTE, mix64, powers
 
 POWER = 1.0
 SEED = 11
 BATCH_BYTES = 4 << 20
-CACHE_UNITS = 1 << 18
 SPACE = 0x20
-BYTE_WEIGHT = 1e-5
-EDGE = np.dtype([("end", np.int32), ("start", np.int32), ("id", np.int32), ("share", np.float64)])
+BYTE_WEIGHT = 1e-3
+RESCALE_EVERY = 16
 
 
 class Vocabulary:
-    """Pieces with their weights; ``ends`` maps every ending of a piece to its id, -1 if it is no piece."""
+    """Pieces with their spelling and weight, and a hash table of all endings of pieces."""
 
     def __init__(self, path: str, power: float = POWER):
         import sentencepiece
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        self.ends: dict[str, int] = {}
-        self.weight = np.zeros(size).tolist()
+        self.weight = np.zeros(size)
         self.spelled = [b""] * size
-        self.byte_id = [0] * 256
-        inner: set[str] = set()
-        self.longest = 1
+        self.byte_id = np.zeros(256, np.int32)
+        pieces: dict[bytes, int] = {}
         for i in range(size):
             if model.is_byte(i):
                 byte = int(model.id_to_piece(i)[3:5], 16)
-                self.byte_id[byte], self.spelled[i] = i, bytes([byte])
+                self.byte_id[byte], self.spelled[i], self.weight[i] = i, bytes([byte]), BYTE_WEIGHT
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 piece = model.id_to_piece(i).replace("▁", " ")
+                if piece.strip(" ") and " " in piece.lstrip(" "):
+                    raise ValueError("a piece joins a word and a following space")
                 rank = min(-model.get_score(i), float(size))
                 self.weight[i], self.spelled[i] = (max(rank, 0) + 2) ** -power, piece.encode()
-                for k in range(1, len(piece)):
-                    self.ends.setdefault(piece[k:], -1)
-                self.ends[piece] = i
-                self.longest = max(self.longest, len(piece))
-                if len(piece) > 1:
-                    inner |= set(piece)
-                if " " in piece.strip(" ") or piece != piece.rstrip(" ") and piece.strip(" "):
-                    raise ValueError("a piece joins a word and a following space")
-        self.alone = np.array([b < 0x80 and chr(b) not in inner for b in range(256)])
-
-    def unit(self, text: str) -> np.ndarray:
-        """Edges of a unit's lattice by end; ``share`` is the running share of an edge among those of its end.
-
-        Places are byte offsets. A character that is no piece has one edge, with id ``-1 - code point``.
-        """
-        ends, weight, longest = self.ends, self.weight, self.longest
-        reach, out = [1.0], []
-        for j in range(1, len(text) + 1):
-            total, found = 0.0, []
-            for i in range(j - 1, max(j - longest, 0) - 1, -1):
-                k = ends.get(text[i:j])
-                if k is None:
-                    break
-                if k >= 0:
-                    total += reach[i] * weight[k]
-                    found.append((j, i, k, total))
-            if ends.get(text[j - 1], -1) < 0:
-                total += reach[j - 1] * BYTE_WEIGHT
-                found.append((j, j - 1, -1 - ord(text[j - 1]), total))
-            out += [(*e[:3], e[3] / total) for e in found[:-1]]
-            out.append((*found[-1][:3], 1.0))
-            reach.append(total)
-            if not 1e-100 < total < 1e100:  # only ratios matter; keep the numbers in range
-                reach[-longest:] = [x / total for x in reach[-longest:]]
-        edges = np.array(out, EDGE)
-        if not text.isascii():
-            places = np.cumsum([0, *(len(c.encode()) for c in text)])
-            edges["end"], edges["start"] = places[edges["end"]], places[edges["start"]]
-        return edges
+                pieces[self.spelled[i]] = i
+        joined = {c for p in pieces if len(p.decode()) > 1 for c in p}
+        self.alone = np.array([b < 0x80 and b not in joined for b in range(256)])
+        self.longest = max(map(len, pieces))
+        self.powers = powers(self.longest)
+        values, turn = BYTE.tolist(), self.powers.tolist()
+        endings: dict[int, int] = {}
+        for piece, i in pieces.items():
+            h = 0
+            for k, b in enumerate(reversed(piece)):
+                h = (h + values[b] * turn[k]) & (2 ** 64 - 1)
+                endings.setdefault(h, -1)
+            endings[h] = i
+        self.keys = np.array(sorted(endings), np.uint64)
+        self.ids = np.array([endings[k] for k in self.keys.tolist()], np.int32)
+
+
+@lru_cache(maxsize=4)
+def vocabulary(path: str, power: float = POWER) -> Vocabulary:
+    """One per worker process and file."""
+    return Vocabulary(path, power)
 
 
 def unit_starts(data: np.ndarray, off: np.ndarray, alone: np.ndarray) -> np.ndarray:
@@ -113,24 +96,81 @@ def unit_starts(data: np.ndarray, off: np.ndarray, alone: np.ndarray) -> np.ndar
     return np.flatnonzero(cut[:-1])
 
 
+class Lattice:
+    """Lattices of many units (their bytes, one after another, and the units' offsets), filtered.
+
+    Place t of unit u has slot ``off[u] + u + t``. Edges are sorted by the slot of their end;
+    ``line`` is that slot plus the running share of the edge among those with the same end.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, data: np.ndarray, off: np.ndarray):
+        unit = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        place = np.arange(len(data)) - off[unit]  # of each byte in its unit
+        last, length, self.id = self._edges(vocabulary, data, place)
+        order = np.argsort(last, kind="stable")
+        last, length, self.id = last[order], length[order], self.id[order]
+        end = last + unit[last] + 1
+        self.start = place[last] + 1 - length
+        share = self._filter(vocabulary.weight[self.id], end, end - length, place[last], off, vocabulary.longest)
+        self.line = end + share
+
+    @staticmethod
+    def _edges(v: Vocabulary, data, place):
+        """(last byte, length, id) of every piece that matches, and byte pieces for characters without one."""
+        lead = (data & 0xC0) != 0x80
+        char = np.cumsum(lead) - 1
+        size = np.arange(len(data)) - np.flatnonzero(lead)[char] + 1  # bytes of the character up to here
+        known = np.zeros(int(char[-1]) + 1, bool)
+        at, h, found = np.arange(len(data)), np.zeros(len(data), np.uint64), []
+        for n in range(1, v.longest + 1):
+            inside = place[at] >= n - 1
+            at, h = at[inside], h[inside]
+            h = h + BYTE[data[at - (n - 1)]] * v.powers[n - 1]
+            row = np.minimum(np.searchsorted(v.keys, h), len(v.keys) - 1)
+            match = v.keys[row] == h
+            at, h, ids = at[match], h[match], v.ids[row[match]]
+            whole = ids >= 0
+            found.append((at[whole], np.full(int(whole.sum()), n, np.int64), ids[whole]))
+            known[char[at[whole][size[at[whole]] == n]]] = True
+            if not len(at):
+                break
+        other = np.flatnonzero(~known[char])
+        found.append((other, np.ones(len(other), np.int64), v.byte_id[data[other]]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    @staticmethod
+    def _filter(weight, end, begin, place, off, longest) -> np.ndarray:
+        """Running share of each edge: forward sums, all units one place at a time."""
+        slots = off[:-1] + np.arange(len(off) - 1)
+        size = np.diff(off)
+        reach = np.zeros(off[-1] + len(size))
+        reach[slots] = 1.0
+        flow = np.zeros(len(weight))
+        order = np.argsort(place, kind="stable")
+        steps = np.searchsorted(place[order], np.arange(int(size.max()) + 1))
+        by_size = np.argsort(-size, kind="stable")
+        for t in range(int(size.max())):
+            e = order[steps[t]:steps[t + 1]]
+            flow[e] = reach[begin[e]] * weight[e]
+            first = np.flatnonzero(np.append(True, end[e][1:] != end[e][:-1]))
+            reach[end[e[first]]] = np.add.reduceat(flow[e], first)
+            if t % RESCALE_EVERY == RESCALE_EVERY - 1:  # only ratios matter; keep long units in range
+                more = by_size[:np.searchsorted(-size[by_size], -(t + 1), side="left")]
+                window = slots[more, None] + np.arange(max(t + 2 - longest, 0), t + 2)
+                reach[window] /= reach[window].max(axis=1, keepdims=True)
+        first = np.flatnonzero(np.append(True, end[1:] != end[:-1]))
+        count = np.diff(np.append(first, len(end)))
+        share = flow / np.repeat(np.add.reduceat(flow, first), count)
+        total = np.cumsum(share)
+        share = total - np.repeat(total[first] - share[first], count)
+        share[first + count - 1] = 1.0
+        return share
+
+
 class Sampler:
     def __init__(self, path: str, power: float = POWER, seed: int = SEED):
-        self.vocabulary = Vocabulary(path, power)
+        self.vocabulary = vocabulary(path, power)
         self.seed = np.array([seed], np.uint64)
-        self.cache: dict[bytes, np.ndarray] = {}
-
-    def lattices(self, units: list[bytes]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        out = []
-        for u in units:
-            edges = self.cache.get(u)
-            if edges is None:
-                edges = self.vocabulary.unit(u.decode())
-                if len(u) <= 64:
-                    self.cache[u] = edges
-            out.append(edges)
-        return out
 
     def encode(self, data: np.ndarray, off: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, row offsets). ``keys`` are the rows' 64-bit keys."""
@@ -142,12 +182,10 @@ class Sampler:
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         starts = unit_starts(data, off, self.vocabulary.alone)
         coded = strings(data, starts).dictionary_encode()
-        unit = coded.indices.to_numpy().astype(np.int64)
-        units = coded.dictionary.to_pylist()
-        lattices = self.lattices(units)
-        base = np.concatenate([[0], np.cumsum([len(u) + 1 for u in units])])
-        edges = np.concatenate(lattices)
-        line = np.repeat(base[:-1], [len(x) for x in lattices]) + edges["end"] + edges["share"]
+        unit = coded.indices.to_numpy()
+        unit_data, unit_off = utf8(coded.dictionary)
+        lattice = Lattice(self.vocabulary, unit_data, unit_off)
+        base = (unit_off[:-1] + np.arange(len(unit_off) - 1))[unit]
         row = np.searchsorted(off, starts, side="right") - 1
         salt = mix64(keys ^ mix64(self.seed))[row]
         begin = (starts - off[row]).astype(np.uint64)
@@ -156,32 +194,16 @@ class Sampler:
         while len(active):
             at = place[active]
             draw = mix64(salt[active] + (begin[active] + at.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
-            u = np.minimum((draw >> np.uint64(11)).astype(np.float64) / float(1 << 53), 1 - 1e-9)
-            edge = np.searchsorted(line, base[unit[active]] + at + u, side="right")
-            start = edges["start"][edge].astype(np.int64)
+            u = np.minimum((draw >> np.uint64(11)).astype(np.float64) / float(1 << 53), 1 - 1e-6)
+            edge = np.searchsorted(lattice.line, base[active] + at + u, side="right")
+            start = lattice.start[edge]
             where.append(starts[active] + start)
-            ids.append(edges["id"][edge])
+            ids.append(lattice.id[edge])
             place[active] = start
             active = active[start > 0]
         where, ids = np.concatenate(where), np.concatenate(ids)
         order = np.argsort(where, kind="stable")
-        where, ids = where[order], ids[order]
-        if (ids < 0).any():
-            where, ids = self._spell(where, ids)
-        return ids.astype(np.int32), np.searchsorted(where, off)
-
-    def _spell(self, where: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Replace every character without a piece by its byte pieces."""
-        chars, kind = np.unique(np.minimum(ids, 0), return_inverse=True)
-        spelled = [[self.vocabulary.byte_id[b] for b in chr(-1 - c).encode()] if c < 0 else [0] for c in chars.tolist()]
-        size = np.array([len(s) for s in spelled])[kind]
-        out = np.repeat(ids, size)
-        place = np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)
-        table = np.zeros((len(spelled), 4), np.int64)
-        for r, s in enumerate(spelled):
-            table[r, :len(s)] = s
-        out = np.where(out < 0, table[np.repeat(kind, size), place], out)
-        return np.repeat(where, size), out
+        return ids[order].astype(np.int32), np.searchsorted(where[order], off)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", power: float = POWER, seed: int = SEED) -> DataFrame:
@@ -210,7 +232,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     names = [f.name for f in keep]
 
     def run(batches):
-        spelled = Vocabulary(path).spelled
+        spelled = vocabulary(path).spelled
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             flat, ends = column.flatten().to_pylist(), np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in column])])
