@@ -5,15 +5,16 @@ sets link when ``100 * |a & b| >= percent * |a | b|``.
 
 1. Equal sets collapse into one node, named by the smallest doc_id.
 2. All sets use one order of shingles: frequent ones last, else by hash. Linked sets share a
-   shingle among the first ``n - ceil(percent * n / 100) + 1`` of their own, the prefix. The
+   shingle among the first ``n - ceil(percent * n / 100) + 1`` of their own, and ``COMMON`` (or as
+   many as they must share at all) among the first so many and ``COMMON - 1`` more, the prefix. The
    frequent shingles are those that many documents hold, counted over all documents; their
    table has at most ``MAX_FREQUENT`` rows. It steers only the order, so any table is right.
 3. Nodes with identical prefix and size collapse into one group, and only groups are joined,
-   on prefix shingles that at least two groups hold.
+   on prefix shingles that at least two groups hold. A group with too few of those is done.
 4. Links are needed only as far as they decide components. So first each group is compared
    with one hub of each of its shingles, nodes with their group's hub; verified links are
    contracted to components. Then all remaining candidates - pairs of groups with a common
-   prefix shingle that pass the size and position filters and are not yet in one component -
+   prefix shingles that pass the size and count filters and are not yet in one component -
    are expanded to their members and verified. No pair that could join two components is
    left out, and the pairs inside a component of near copies are never listed.
 5. Verification intersects the two sets. Only sets of nodes with a candidate are computed
@@ -47,8 +48,9 @@ PERCENT = 80
 MAX_FREQUENT = 1 << 18   # rows of the table of frequent shingles: 4 MB
 FREQUENT_FROM = 8        # documents that hold a shingle, summed over tasks in which two or more do
 BATCH_BYTES = 4 << 20
-MERGE_AT = 1 << 22       # distinct shingles a task keeps while it counts
-HUB_ROUNDS = 3
+MERGE_AT = 1 << 20       # distinct shingles a task keeps while it counts
+HUB_ROUNDS = 2
+COMMON = 4               # prefix shingles that a linking pair shares, unless it must share fewer shingles at all
 NULL_ID = -(1 << 63)
 
 
@@ -102,8 +104,8 @@ def frequent_shingles(docs: DataFrame, k: int = SHINGLE_WORDS) -> tuple[np.ndarr
     return tokens[order], top["n"].to_numpy(np.int64)[order]
 
 
-def prefix_length(n, percent: int):
-    return n - (n * percent + 99) // 100 + 1
+def prefix_length(n: int, percent: int) -> int:
+    return min(n, n - (n * percent + 99) // 100 + COMMON)
 
 
 def signatures(docs: DataFrame, frequent, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -156,8 +158,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE_WORDS) -> DataF
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets link."""
+    pairs = materialize(pairs, "shingle-pairs")
+    if pairs.count() <= BROADCAST_IDS:  # few pairs go to the sets, not all sets to the pairs
+        heads = sets.join(F.broadcast(pairs.select(F.col("b").alias("id")).distinct()), "id", "left_semi")
+        pairs = F.broadcast(pairs)
+    else:
+        heads = sets
     rows = (pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("sa")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("sb")), "b"))
+            .join(heads.select(F.col("id").alias("b"), F.col("tokens").alias("sb")), "b"))
 
     def run(batches):
         for batch in batches:
@@ -186,9 +194,11 @@ def components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT)
     groups = materialize(sig.where("n > 0").groupBy("pkey", "n", "prefix").agg(F.min("doc_id").alias("g")), "shingle-groups")
     members = nodes.join(groups.select("pkey", "n", "g"), ["pkey", "n"]).select("id", "g", "n")
 
-    postings = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = groups.select("g", "n", F.explode("prefix").alias("token"))
     held = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    lists = materialize(postings.join(held.select("token"), "token"), "shingle-lists")
+    lists = materialize(postings.join(held.select("token"), "token"), "shingle-postings")
+    enough = lists.groupBy("g", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.least(F.lit(COMMON), F.ceil(F.col("n") * percent / 100)))
+    lists = materialize(lists.join(enough.select("g"), "g", "left_semi"), "shingle-lists")
     members = materialize(members, "shingle-members")
     inner = members.where("id <> g").select(F.col("id").alias("a"), F.col("g").alias("b"))
 
@@ -205,7 +215,8 @@ def components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT)
         hubs = live.groupBy("token").agg(F.min(F.struct(order.alias("o"), "g", "n")).alias("hub"))
         hubs = hubs.select("token", F.col("hub.g").alias("hg"), F.col("hub.n").alias("hn"))
         pairs = live.join(hubs, "token").where((F.col("g") != F.col("hg")) & _sizes_fit("n", "hn", percent))
-        pairs = pairs.select(F.greatest("g", "hg").alias("a"), F.least("g", "hg").alias("b")).distinct()
+        pairs = pairs.groupBy(F.greatest("g", "hg").alias("a"), F.least("g", "hg").alias("b")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).where(F.col("c") >= F.least(F.lit(COMMON), F.col("n"))).select("a", "b")
         if linked is not None:
             pairs = pairs.join(linked.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left") \
                 .join(linked.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left") \
@@ -247,16 +258,14 @@ def _live(lists: DataFrame, members: DataFrame, linked: DataFrame):
 def _candidates(live: DataFrame, groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Node pairs (a, b) of different components from group pairs that pass all filters, and from inside groups.
 
-    At the first common shingle of a linking pair, what follows it in either set bounds the
-    overlap, so a pair is kept where ``1 + min(rest) >= needed``.
+    A linking pair has ``needed`` shingles in common, and ``COMMON`` of them (all, if fewer) in both prefixes.
     """
-    x = live.select("token", *[F.col(c).alias(f"{c}_x") for c in ("g", "n", "pos", "c0", "c1")])
-    y = live.select("token", *[F.col(c).alias(f"{c}_y") for c in ("g", "n", "pos", "c0", "c1")])
+    x = live.select("token", *[F.col(c).alias(f"{c}_x") for c in ("g", "n", "c0", "c1")])
+    y = live.select("token", *[F.col(c).alias(f"{c}_y") for c in ("g", "n", "c0", "c1")])
     needed = F.ceil((F.col("n_x") + F.col("n_y")) * F.lit(percent) / F.lit(100 + percent))
-    rest = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
     one = (F.col("c0_x") == F.col("c1_x")) & (F.col("c0_y") == F.col("c1_y")) & (F.col("c0_x") == F.col("c0_y"))
-    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("g_x") < F.col("g_y")) & _sizes_fit("n_x", "n_y", percent)
-                   & (rest >= needed) & ~one).select("g_x", "g_y").distinct()
+    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("g_x") < F.col("g_y")) & _sizes_fit("n_x", "n_y", percent) & ~one)
+    pairs = pairs.groupBy("g_x", "g_y", "n_x", "n_y").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.least(F.lit(COMMON), needed)).select("g_x", "g_y")
     pairs = pairs.unionByName(groups.where("c0 < c1").select(F.col("g").alias("g_x"), F.col("g").alias("g_y")))
     a = nodes.select(F.col("id").alias("a"), F.col("g").alias("g_x"), F.col("c").alias("ca"))
     b = nodes.select(F.col("id").alias("b"), F.col("g").alias("g_y"), F.col("c").alias("cb"))
