@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abode.llm import chat_format, imatch, mixing, ngram_join, piece_sampling, quality_model, quality_rules, secret_scan, token_counts
+from abode.llm import chat_format, imatch, mixing, ngram_join, piece_sampling, quality_model, quality_rules, secret_scan, suffix_dedup, token_counts
 from abode.llm.registry import documents, register, table
 from abode.session import materialize
 
@@ -84,3 +84,11 @@ def op5(spark, sf_dir):
     out = piece_sampling.decode(pieces, path)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("pieces_hash"),
                       F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
+@register("op7_suffix_dedup")
+def op7(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
