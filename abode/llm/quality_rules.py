@@ -94,7 +94,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     twice = F.filter("_qr_windows", lambda x, i: (x["w"] == F.get(F.col("_qr_windows"), i - 1)["w"])
                      | F.coalesce(x["w"] == F.get(F.col("_qr_windows"), i + 1)["w"], F.lit(False)))
     c = b.select(*keep, *counts, F.sort_array(F.transform(twice, lambda x: x["p"])).alias("_qr_starts"))
-    return c.select(*keep, *counts, _covered("_qr_starts").cast("long").alias("n_repeat_words"))
+    measured = F.struct(*counts, _covered("_qr_starts").cast("long").alias("n_repeat_words"))
+    # a generated row: a filter on the counts stays above it instead of repeating their expressions
+    return c.select(*keep, F.inline(F.array(measured)))
 
 
 def apply_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
