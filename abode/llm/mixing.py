@@ -63,8 +63,11 @@ def size_class(size) -> Column:
 
 
 def mix(df: DataFrame, size: str = "size", key: str = "doc_id", source: str = "source", weights=WEIGHTS,
-        max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
-    """Add source_size, target (of the row's source) and copies. ``df`` is read twice: pass a written table."""
+        max_repeat: int = MAX_REPEAT, seed: int = SEED, ties: tuple = ()) -> DataFrame:
+    """Add source_size, target (of the row's source) and copies. ``df`` is read twice: pass a written table.
+
+    Rows with equal size and key are ordered by the columns ``ties``.
+    """
     keep = [c for c in df.columns if c not in ("source_size", "target", "copies")]
     rows = df.select(*keep, F.col(size).cast("long").alias("_mx_size"), F.col(source).isNull().alias("_mx_none"),
                      F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_mx_source"),
@@ -82,7 +85,7 @@ def mix(df: DataFrame, size: str = "size", key: str = "doc_id", source: str = "s
     classes = classes.withColumn("_mx_c0", F.coalesce(F.sum("_mx_cn").over(w_class), F.lit(0))).drop("_mx_cn")
     cells = cells.withColumn("_mx_b0", F.coalesce(F.sum("_mx_n").over(w_bucket), F.lit(0))).drop("_mx_n", "_mx_sum")
     cells = cells.join(classes.join(targets, ["_mx_none", "_mx_source"]), ["_mx_none", "_mx_source", "_mx_class"])
-    ranked = rows.withColumn("_mx_k", F.row_number().over(Window.partitionBy(*cell).orderBy("_mx_size", key)))
+    ranked = rows.withColumn("_mx_k", F.row_number().over(Window.partitionBy(*cell).orderBy("_mx_size", key, *ties)))
     out = ranked.join(cells, cell)
     rate = F.col("target") / F.col("source_size")
     end = F.col("_mx_c0") + F.col("_mx_b0") + F.col("_mx_k")

@@ -35,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from abode.llm.arrowtext import by_bytes, utf8
@@ -272,9 +272,23 @@ def _candidates(live: DataFrame, groups: DataFrame, nodes: DataFrame, percent: i
     return pairs.join(a, "g_x").join(b, "g_y").where("ca <> cb and (g_x <> g_y or a < b)").select("a", "b").distinct()
 
 
-def representatives(docs: DataFrame, of_doc: DataFrame) -> DataFrame:
-    """Documents that lead their component, one row each; repeated rows of a leading doc_id leave one."""
-    leaders = of_doc.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    marked = docs.withColumn("_nj_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    leaders = leaders.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_nj_id"))
-    return marked.join(leaders, "_nj_id", "left_semi").dropDuplicates(["_nj_id"]).drop("_nj_id")
+def one_of_each_group(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of each group of linked documents, that of the smallest doc_id; columns as they came.
+
+    Rows whose doc_id is null or repeated are told apart by a hash of doc_id and text; of equal rows one stays.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_nj_odd"), F.lit(True).alias("_nj_is"))
+    odd = materialize(odd, "shingle-odd-ids")
+    n_odd = odd.count()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_nj_row"), F.col("doc_id").cast("long").alias("_nj_key"), "text")
+    if n_odd:
+        ids = F.broadcast(odd) if n_odd <= BROADCAST_IDS else odd
+        row = row.join(ids, row["_nj_row.doc_id"].eqNullSafe(ids["_nj_odd"]), "left")
+        row = row.withColumn("_nj_key", F.when(F.col("_nj_is"), F.xxhash64("_nj_key", "text")).otherwise(F.col("_nj_key"))).drop("_nj_odd", "_nj_is")
+    groups = components(row.select(F.col("_nj_key").alias("doc_id"), "text"), k, percent)
+    leaders = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_nj_key")).distinct()
+    stay = row.join(leaders, "_nj_key", "left_semi")
+    if n_odd:
+        first = Window.partitionBy("_nj_key").orderBy(F.xxhash64("_nj_row"))
+        stay = stay.withColumn("_nj_n", F.row_number().over(first)).where("_nj_n = 1")
+    return stay.select("_nj_row.*")
