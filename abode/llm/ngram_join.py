@@ -194,7 +194,7 @@ def components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT)
     groups = materialize(sig.where("n > 0").groupBy("pkey", "n", "prefix").agg(F.min("doc_id").alias("g")), "shingle-groups")
     members = nodes.join(groups.select("pkey", "n", "g"), ["pkey", "n"]).select("id", "g", "n")
 
-    postings = groups.select("g", "n", F.explode("prefix").alias("token"))
+    postings = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
     held = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     lists = materialize(postings.join(held.select("token"), "token"), "shingle-postings")
     enough = lists.groupBy("g", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.least(F.lit(COMMON), F.ceil(F.col("n") * percent / 100)))
@@ -258,13 +258,15 @@ def _live(lists: DataFrame, members: DataFrame, linked: DataFrame):
 def _candidates(live: DataFrame, groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Node pairs (a, b) of different components from group pairs that pass all filters, and from inside groups.
 
-    A linking pair has ``needed`` shingles in common, and ``COMMON`` of them (all, if fewer) in both prefixes.
+    A linking pair has ``needed`` shingles in common. ``needed - k`` of them follow the k-th, so that one stands
+    at most at place ``n - needed + k`` in either set; the first ``COMMON`` (all, if fewer) are counted.
     """
-    x = live.select("token", *[F.col(c).alias(f"{c}_x") for c in ("g", "n", "c0", "c1")])
-    y = live.select("token", *[F.col(c).alias(f"{c}_y") for c in ("g", "n", "c0", "c1")])
+    x = live.select("token", *[F.col(c).alias(f"{c}_x") for c in ("g", "n", "pos", "c0", "c1")])
+    y = live.select("token", *[F.col(c).alias(f"{c}_y") for c in ("g", "n", "pos", "c0", "c1")])
     needed = F.ceil((F.col("n_x") + F.col("n_y")) * F.lit(percent) / F.lit(100 + percent))
     one = (F.col("c0_x") == F.col("c1_x")) & (F.col("c0_y") == F.col("c1_y")) & (F.col("c0_x") == F.col("c0_y"))
-    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("g_x") < F.col("g_y")) & _sizes_fit("n_x", "n_y", percent) & ~one)
+    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("g_x") < F.col("g_y")) & _sizes_fit("n_x", "n_y", percent)
+                   & (F.col("pos_x") < F.col("n_x") - needed + COMMON) & (F.col("pos_y") < F.col("n_y") - needed + COMMON) & ~one)
     pairs = pairs.groupBy("g_x", "g_y", "n_x", "n_y").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.least(F.lit(COMMON), needed)).select("g_x", "g_y")
     pairs = pairs.unionByName(groups.where("c0 < c1").select(F.col("g").alias("g_x"), F.col("g").alias("g_y")))
     a = nodes.select(F.col("id").alias("a"), F.col("g").alias("g_x"), F.col("c").alias("ca"))
