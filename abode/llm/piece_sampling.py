@@ -151,6 +151,8 @@ class Lattice:
         by_size = np.argsort(-size, kind="stable")
         for t in range(int(size.max())):
             e = order[steps[t]:steps[t + 1]]
+            if not len(e):  # inside characters of all units that are this long
+                continue
             flow[e] = reach[begin[e]] * weight[e]
             first = np.flatnonzero(np.append(True, end[e][1:] != end[e][:-1]))
             reach[end[e[first]]] = np.add.reduceat(flow[e], first)
