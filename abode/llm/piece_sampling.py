@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +36,13 @@ from abode.llm.wordhash import BYTE, mix64, powers
 
 POWER = 1.0
 SEED = 11
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 SPACE = 0x20
 BYTE_WEIGHT = 1e-3
 RESCALE_EVERY = 16
+KNOWN_UNITS = 200_000  # filtered units that a worker keeps for later batches
+SLOT_BITS = 22
+PIECES_AT_ONCE = 1 << 20
 
 
 class Vocabulary:
@@ -77,6 +81,21 @@ class Vocabulary:
             endings[h] = i
         self.keys = np.array(sorted(endings), np.uint64)
         self.ids = np.array([endings[k] for k in self.keys.tolist()], np.int32)
+        slot = (self.keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.first = np.searchsorted(slot, np.arange((1 << SLOT_BITS) + 1)).astype(np.int32)  # keys of a slot are neighbours
+        self.deep = int(np.diff(self.first).max())
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Row of each ending's hash in ``keys``, -1 if it is none."""
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        row = self.first[slot]
+        out = np.full(len(h), -1, np.int64)
+        some = np.flatnonzero(self.first[slot + 1] > row)
+        for step in range(self.deep):
+            at = np.minimum(row[some] + step, len(self.keys) - 1)
+            same = self.keys[at] == h[some]
+            out[some[same]] = at[same]
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -99,8 +118,8 @@ def unit_starts(data: np.ndarray, off: np.ndarray, alone: np.ndarray) -> np.ndar
 class Lattice:
     """Lattices of many units (their bytes, one after another, and the units' offsets), filtered.
 
-    Place t of unit u has slot ``off[u] + u + t``. Edges are sorted by the slot of their end;
-    ``line`` is that slot plus the running share of the edge among those with the same end.
+    Place t of unit u has slot ``off[u] + u + t``. Edges are sorted by the slot of their end, and ``first``
+    is a slot's first edge; ``share`` is the running share of an edge among those with the same end.
     """
 
     def __init__(self, vocabulary: Vocabulary, data: np.ndarray, off: np.ndarray):
@@ -112,7 +131,10 @@ class Lattice:
         end = last + unit[last] + 1
         self.start = place[last] + 1 - length
         share = self._filter(vocabulary.weight[self.id], end, end - length, place[last], off, vocabulary.longest)
-        self.line = end + share
+        self.share = share
+        self.slots = off[:-1] + np.arange(len(off) - 1)
+        self.n_slots = int(off[-1]) + len(off) - 1
+        self.first = np.searchsorted(end, np.arange(self.n_slots))
 
     @staticmethod
     def _edges(v: Vocabulary, data, place):
@@ -126,8 +148,8 @@ class Lattice:
             inside = place[at] >= n - 1
             at, h = at[inside], h[inside]
             h = h + BYTE[data[at - (n - 1)]] * v.powers[n - 1]
-            row = np.minimum(np.searchsorted(v.keys, h), len(v.keys) - 1)
-            match = v.keys[row] == h
+            row = v.find(h)
+            match = row >= 0
             at, h, ids = at[match], h[match], v.ids[row[match]]
             whole = ids >= 0
             found.append((at[whole], np.full(int(whole.sum()), n, np.int64), ids[whole]))
@@ -146,16 +168,15 @@ class Lattice:
         reach = np.zeros(off[-1] + len(size))
         reach[slots] = 1.0
         flow = np.zeros(len(weight))
-        order = np.argsort(place, kind="stable")
+        order = np.argsort(place.astype(np.uint16) if len(place) and size.max() < 1 << 16 else place, kind="stable")
         steps = np.searchsorted(place[order], np.arange(int(size.max()) + 1))
         by_size = np.argsort(-size, kind="stable")
         for t in range(int(size.max())):
             e = order[steps[t]:steps[t + 1]]
-            if not len(e):  # inside characters of all units that are this long
-                continue
-            flow[e] = reach[begin[e]] * weight[e]
-            first = np.flatnonzero(np.append(True, end[e][1:] != end[e][:-1]))
-            reach[end[e[first]]] = np.add.reduceat(flow[e], first)
+            if len(e):  # none inside characters of all units that are this long
+                flow[e] = reach[begin[e]] * weight[e]
+                first = np.flatnonzero(np.append(True, end[e][1:] != end[e][:-1]))
+                reach[end[e[first]]] = np.add.reduceat(flow[e], first)
             if t % RESCALE_EVERY == RESCALE_EVERY - 1:  # only ratios matter; keep long units in range
                 more = by_size[:np.searchsorted(-size[by_size], -(t + 1), side="left")]
                 window = slots[more, None] + np.arange(max(t + 2 - longest, 0), t + 2)
@@ -173,6 +194,29 @@ class Sampler:
     def __init__(self, path: str, power: float = POWER, seed: int = SEED):
         self.vocabulary = vocabulary(path, power)
         self.seed = np.array([seed], np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units = pa.array([], pa.large_binary())
+        self.slots, self.n_slots = np.zeros(0, np.int64), 0
+        self.share, self.start, self.id = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.first = np.zeros(0, np.int32)
+
+    def _learn(self, units: pa.Array) -> np.ndarray:
+        """First slots of the units' lattices; units that are not known yet are filtered and kept."""
+        if len(self.units) > KNOWN_UNITS:
+            self._forget()
+        new = units.filter(pc.invert(pc.is_in(units, value_set=self.units)))
+        if len(new):
+            found = Lattice(self.vocabulary, *utf8(new))
+            self.units = pa.concat_arrays([self.units, new])
+            self.slots = np.concatenate([self.slots, found.slots + self.n_slots])
+            self.first = np.concatenate([self.first, (found.first + len(self.id)).astype(np.int32)])
+            self.share = np.concatenate([self.share, found.share])
+            self.start = np.concatenate([self.start, found.start.astype(np.int32)])
+            self.id = np.concatenate([self.id, found.id.astype(np.int32)])
+            self.n_slots += found.n_slots
+        return self.slots[pc.index_in(units, value_set=self.units).to_numpy()]
 
     def encode(self, data: np.ndarray, off: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, row offsets). ``keys`` are the rows' 64-bit keys."""
@@ -184,10 +228,7 @@ class Sampler:
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         starts = unit_starts(data, off, self.vocabulary.alone)
         coded = strings(data, starts).dictionary_encode()
-        unit = coded.indices.to_numpy()
-        unit_data, unit_off = utf8(coded.dictionary)
-        lattice = Lattice(self.vocabulary, unit_data, unit_off)
-        base = (unit_off[:-1] + np.arange(len(unit_off) - 1))[unit]
+        base = self._learn(coded.dictionary)[coded.indices.to_numpy()]
         row = np.searchsorted(off, starts, side="right") - 1
         salt = mix64(keys ^ mix64(self.seed))[row]
         begin = (starts - off[row]).astype(np.uint64)
@@ -196,11 +237,15 @@ class Sampler:
         while len(active):
             at = place[active]
             draw = mix64(salt[active] + (begin[active] + at.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
-            u = np.minimum((draw >> np.uint64(11)).astype(np.float64) / float(1 << 53), 1 - 1e-6)
-            edge = np.searchsorted(lattice.line, base[active] + at + u, side="right")
-            start = lattice.start[edge]
+            u = (draw >> np.uint64(11)).astype(np.float64) / float(1 << 53)  # below 1, the share of a place's last edge
+            edge = self.first[base[active] + at]
+            todo = np.arange(len(edge))
+            while len(todo):
+                todo = todo[self.share[edge[todo]] <= u[todo]]
+                edge[todo] += 1
+            start = self.start[edge]
             where.append(starts[active] + start)
-            ids.append(lattice.id[edge])
+            ids.append(self.id[edge])
             place[active] = start
             active = active[start > 0]
         where, ids = np.concatenate(where), np.concatenate(ids)
@@ -235,10 +280,20 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches):
         spelled = vocabulary(path).spelled
+        size = np.array([len(x) for x in spelled])
+        begin, letters = np.cumsum(size) - size, np.frombuffer(b"".join(spelled), np.uint8)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            flat, ends = column.flatten().to_pylist(), np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in column])])
-            texts = [b"".join(map(spelled.__getitem__, flat[a:b]))[1:] for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array([t.decode() for t in texts], pa.string())], names=[*names, "decoded"])
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())])
+            for a, b in by_bytes(ends, PIECES_AT_ONCE):
+                flat, rows = column.slice(a, b - a).flatten().to_numpy(), ends[a:b + 1] - ends[a]
+                place = np.concatenate([[0], np.cumsum(size[flat])])
+                out = letters[np.repeat(begin[flat] - place[:-1], size[flat]) + np.arange(place[-1])]
+                some = rows[1:] > rows[:-1]
+                out = np.delete(out, place[rows[:-1][some]])  # the dummy prefix
+                text_ends = place[rows] - np.concatenate([[0], np.cumsum(some)])
+                texts = pa.Array.from_buffers(pa.large_string(), b - a, [None, pa.py_buffer(text_ends.astype(np.int64)), pa.py_buffer(out)])
+                texts.validate(full=True)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).select(names).columns, texts.cast(pa.string())], names=[*names, "decoded"])
 
     return df.mapInArrow(run, T.StructType([*keep, T.StructField("decoded", T.StringType())]))
