@@ -61,10 +61,10 @@ def luxury_label(n) -> Column:
 
 
 def flag_sum(cols: Iterable) -> Column:
-    """Row-wise sum of boolean flags, null counts as 0."""
+    """Row-wise sum of flags (booleans or their text); null and other text count as 0."""
     total = None
     for c in cols:
-        term = F.coalesce(col_of(c).cast("int"), F.lit(0))
+        term = F.coalesce(col_of(c).try_cast("boolean").cast("int"), F.lit(0))
         total = term if total is None else total + term
     return total.cast("long")
 
@@ -80,8 +80,8 @@ def tri_state_bool(c) -> Column:
 
 
 def bool_code(c) -> Column:
-    """Boolean -> 1/0; missing -> -1."""
-    return F.coalesce(col_of(c).cast("boolean").cast("int"), F.lit(-1))
+    """Boolean or its text -> 1/0; missing or unrecognised -> -1."""
+    return F.coalesce(col_of(c).try_cast("boolean").cast("int"), F.lit(-1))
 
 
 def clean_floor_text(c) -> Column:

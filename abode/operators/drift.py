@@ -58,7 +58,7 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFr
     # tot has one row per column: bounded, broadcast. The next-value join is an equi-join
     # on (column, rank), shuffled like any join of two large tables.
     j = cdf.join(nxt, ["column_name", "rank"], "left").join(F.broadcast(tot), "column_name")
-    gap = F.abs(F.col("cum_ref") / F.col("n_ref") - F.col("cum_cur") / F.col("n_cur"))
+    gap = F.abs(F.try_divide("cum_ref", "n_ref") - F.try_divide("cum_cur", "n_cur"))  # null where a side is empty
     stats = j.groupBy("column_name").agg(
         F.sum(gap * (F.col("next_value") - F.col("value"))).alias("wasserstein"), F.max(gap).alias("ks"),
         F.first("n_distinct").alias("n_distinct"))
@@ -73,8 +73,9 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFr
         .alias("ref_std")))
     js = _js_from_counts(counts)
     out = stats.join(F.broadcast(std), "column_name", "left").join(F.broadcast(js), "column_name", "left")
-    return out.withColumn("wasserstein", F.coalesce("wasserstein", F.lit(0.0))).withColumn(
-        "wasserstein_norm", F.col("wasserstein") / F.col("ref_std"))
+    # one distinct value: distance 0; a side without values: null; a constant reference: no normed distance
+    return out.withColumn("wasserstein", F.when(F.col("ks").isNotNull(), F.coalesce("wasserstein", F.lit(0.0)))).withColumn(
+        "wasserstein_norm", F.try_divide("wasserstein", "ref_std"))
 
 
 def categorical_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -93,13 +94,14 @@ def _js_from_counts(counts: DataFrame) -> DataFrame:
     """JS distance per column from ``(column_name, value, c_ref, c_cur)`` counts."""
     tot = counts.groupBy("column_name").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
     j = counts.join(F.broadcast(tot), "column_name")
-    p, q = F.col("c_ref") / F.col("n_ref"), F.col("c_cur") / F.col("n_cur")
+    p, q = F.try_divide("c_ref", "n_ref"), F.try_divide("c_cur", "n_cur")
     m = (p + q) / 2
 
     def kl(a):
-        return F.when(a > 0, a * F.log(a / m)).otherwise(F.lit(0.0))
+        return F.when(a > 0, a * F.log(F.try_divide(a, m))).otherwise(F.lit(0.0))
 
-    return j.groupBy("column_name").agg(F.sqrt(F.greatest(F.lit(0.0), 0.5 * F.sum(kl(p)) + 0.5 * F.sum(kl(q)))).alias("js"))
+    both = (F.min("n_ref") > 0) & (F.min("n_cur") > 0)  # else there is nothing to compare: null
+    return j.groupBy("column_name").agg(F.when(both, F.sqrt(F.greatest(F.lit(0.0), 0.5 * F.sum(kl(p)) + 0.5 * F.sum(kl(q))))).alias("js"))
 
 
 def drift_report(ref: DataFrame, cur: DataFrame, subset: Sequence[str] | None = None,

@@ -171,7 +171,7 @@ class _TEModelReader(_ParamsOnlyReader):
 
 def bool_code_stage(cols: Sequence[str], suffix: str = "_code") -> SQLTransformer:
     """D6 inside a pipeline: boolean -> 1/0, missing -> -1."""
-    exprs = ", ".join(f"coalesce(CAST(CAST(`{c}` AS BOOLEAN) AS INT), -1) AS `{c}{suffix}`" for c in cols)
+    exprs = ", ".join(f"coalesce(CAST(TRY_CAST(`{c}` AS BOOLEAN) AS INT), -1) AS `{c}{suffix}`" for c in cols)
     return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__")
 
 

@@ -51,7 +51,8 @@ def similar_neighbourhoods(profiles: DataFrame, targets: Sequence[str], k: int =
     feats = ["price_per_m2", "mean_size", "lat", "lon"]
     stats = profiles.agg(*[F.avg(c).alias(f"_m_{c}") for c in feats], *[F.stddev_samp(c).alias(f"_s_{c}") for c in feats]).first()
     # only complete profiles can be compared (a neighbourhood without coordinates is skipped)
-    z = profiles.select(key, *[((F.col(c) - stats[f"_m_{c}"]) / stats[f"_s_{c}"]).alias(c) for c in feats]).na.drop(
+    # and a constant feature separates none: its score is 0
+    z = profiles.select(key, *[((F.col(c) - stats[f"_m_{c}"]) / (stats[f"_s_{c}"] or 1.0)).alias(c) for c in feats]).na.drop(
         "any", subset=feats)
     out = None
     for t in targets:
@@ -85,18 +86,18 @@ def welch_t(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     wide = s.agg(*[F.max(F.when(F.col(group) == g, F.col(c))).alias(f"{c}_{i}")
                    for i, g in enumerate((a, b)) for c in ("n", "m", "v")])
     return wide.select(F.lit(a).alias("group_a"), F.lit(b).alias("group_b"), "n_0", "n_1",
-                       ((F.col("m_0") - F.col("m_1")) / F.sqrt(F.col("v_0") / F.col("n_0") + F.col("v_1") / F.col("n_1"))).alias("t"))
+                       F.try_divide(F.col("m_0") - F.col("m_1"), F.sqrt(F.try_divide("v_0", "n_0") + F.try_divide("v_1", "n_1"))).alias("t"))
 
 
 def anova_f(df: DataFrame, group: str, value: str) -> DataFrame:
-    """M5: one-way ANOVA F from per-group count, mean and variance (one aggregate)."""
+    """M5: one-way ANOVA F from per-group count, mean and variance (one aggregate); null with one group or no spread."""
     d = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     g = d.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
     grand = d.agg(F.avg(value)).scalar()
     agg = g.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n_total"),
                 F.sum(F.col("n") * (F.col("m") - grand) * (F.col("m") - grand)).alias("ssb"),
                 F.sum((F.col("n") - 1) * F.coalesce(F.col("v"), F.lit(0.0))).alias("ssw"))
-    return agg.select("k", "n_total", ((F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n_total") - F.col("k")))).alias("f"))
+    return agg.select("k", "n_total", F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n_total") - F.col("k"))).alias("f"))
 
 
 def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:

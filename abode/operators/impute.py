@@ -26,6 +26,8 @@ def frequent_levels(fit_df: DataFrame, cols: Sequence[str], min_freq: float = 0.
     frequent levels, so the fitted vocabulary (like a ``StringIndexer``'s labels) is a
     proven-small list brought to the driver.
     """
+    if not 0 < min_freq <= 1:
+        raise ValueError("min_freq must lie in (0, 1]: it bounds the vocabulary to 1 / min_freq levels a column")
     longdf = fit_df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], list(cols), "column_name", "_lvl").where(F.col("_lvl").isNotNull())
     counts = longdf.groupBy("column_name", "_lvl").agg(F.count(F.lit(1)).alias("_cnt"))

@@ -12,7 +12,7 @@ from abode.config import MIN_VAL_R2
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                        by: Sequence[str] = ("split", "model")) -> DataFrame:
-    """r2, mae, rmse per group, long form ``(*by, metric, value)``.
+    """r2, mae, rmse per group, long form ``(*by, metric, value)``; r2 of a constant label is null.
 
     Two passes for stability: the group means (one row per group, broadcast) are joined
     back so the total sum of squares is ``sum((y - mean)^2)``.
@@ -24,7 +24,7 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
     agg = j.groupBy(*by).agg(
         F.sum((y - p) * (y - p)).alias("_ssr"), F.sum((y - F.col("_mu")) * (y - F.col("_mu"))).alias("_sst"),
         F.avg(F.abs(y - p)).alias("mae"), F.avg((y - p) * (y - p)).alias("_mse"))
-    wide = agg.select(*by, (1 - F.col("_ssr") / F.col("_sst")).alias("r2"), "mae", F.sqrt("_mse").alias("rmse"))
+    wide = agg.select(*by, (1 - F.try_divide("_ssr", "_sst")).alias("r2"), "mae", F.sqrt("_mse").alias("rmse"))
     return wide.select(*by, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("r2", "mae", "rmse")])).alias("s")
     ).select(*by, "s.metric", "s.value")
@@ -41,10 +41,10 @@ def flatten_metrics(metrics: DataFrame, nested: bool = True, prefix: str = "") -
 
 def registry_gate(metrics: DataFrame, threshold: float = MIN_VAL_R2, split: str = "val",
                   keys: Sequence[str] = ("task", "model")) -> DataFrame:
-    """Val r2 present and ``>= threshold`` (inclusive) per model."""
+    """Val r2 present, a number and ``>= threshold`` (inclusive) per model."""
     r2 = metrics.where((F.col("split") == split) & (F.col("metric") == "r2"))
     keys = [k for k in keys if k in metrics.columns]
-    return r2.groupBy(*keys).agg(F.max("value").alias("val_r2")).withColumn(
+    return r2.groupBy(*keys).agg(F.max(F.when(~F.isnan("value"), F.col("value"))).alias("val_r2")).withColumn(
         "qualifies", F.coalesce(F.col("val_r2") >= F.lit(threshold), F.lit(False)))
 
 
@@ -61,6 +61,6 @@ def compare_models(flat: DataFrame, models: Sequence[str], prefixes: Sequence[st
 def latest_qualified(versions: DataFrame, threshold: float = MIN_VAL_R2,
                      keys: Sequence[str] = ("task", "model")) -> DataFrame:
     """H5 + K12: newest version per model among those whose val r2 passes the gate."""
-    ok = versions.where(F.col("val_r2") >= threshold)
+    ok = versions.where((F.col("val_r2") >= threshold) & ~F.isnan("val_r2"))
     return ok.groupBy(*keys).agg(F.max("version").alias("latest_version"),
                                  F.max_by("val_r2", "version").alias("val_r2"))

@@ -60,22 +60,29 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: b
         q = approx_quantiles(df, cols, probs, names, accuracy)
     else:
         q = quantile_columns(exact_quantiles(df, cols, probs), probs, names)
-    # both sides have one row per column: a bounded broadcast.
-    return moments.join(F.broadcast(q), "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    # all sides have one row per column: bounded broadcasts. A column without values has count 0.
+    return _columns(df, cols).join(F.broadcast(moments), "column_name", "left").join(F.broadcast(q), "column_name", "left").select(
+        "column_name", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def describe_object(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Count, unique, top, freq per non-numeric column; ties for top -> smallest value."""
+    cols = list(cols) if cols is not None else object_columns(df)
     vc = value_counts(df, cols)
-    return vc.groupBy("column_name").agg(
+    found = vc.groupBy("column_name").agg(
         F.sum("count").alias("count"), F.count(F.lit(1)).alias("unique"),
         F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("top"),
         F.max("count").alias("freq"))
+    return _columns(df, cols).join(F.broadcast(found), "column_name", "left").fillna(0, ["count", "unique"])
+
+
+def _columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row per column name, so columns without any value keep their row."""
+    return df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column_name"))
 
 
 def missing_share(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Missing share in percent per column, from one ``count(*)``/``count(c)`` pass."""
+    """Missing share in percent per column, from one ``count(*)``/``count(c)`` pass; null for an empty table."""
     cols = list(cols) if cols is not None else df.columns
     aggs = [F.count(F.lit(1)).alias("_n")] + [F.count(F.col(c)).alias(f"_nn_{i}") for i, c in enumerate(cols)]
     one = df.agg(*aggs)
@@ -84,7 +91,7 @@ def missing_share(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     ])).alias("s")).select("s.column_name", "_n", "s.non_null")
     return stacked.select(
         "column_name", (F.col("_n") - F.col("non_null")).alias("n_missing"),
-        (100.0 * (F.col("_n") - F.col("non_null")) / F.col("_n")).alias("missing_pct"))
+        F.try_divide(100.0 * (F.col("_n") - F.col("non_null")), F.col("_n")).alias("missing_pct"))
 
 
 def missing_band(pct_col="missing_pct"):

@@ -10,12 +10,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from abode.operators.ordered import running_sum
-
 TWO_32 = 4294967296.0
+CUT_BUCKETS = 65_536
 
 
 def hash_uniform(key, seed: int) -> Column:
@@ -45,14 +44,21 @@ def three_way_split(df: DataFrame, key: str, test_size: float, val_size: float,
 def _exact_mark(df: DataFrame, key: str, seed: int, frac: float, flag: str) -> DataFrame:
     """Flag the ``ceil(n * frac)`` rows with the smallest ``(u, key)``.
 
-    The rank comes from a range-partitioned running count (no global single-task sort);
-    ``n`` is a scalar subquery.
+    Rows are counted in ``CUT_BUCKETS`` equal buckets of ``u``; the running count over that fixed-size
+    table names the bucket in which the cut falls and how many of its rows are still to take. Only that
+    bucket is ranked, and its last taken ``(u, key)`` decides for every row by comparison: the payload is
+    neither shuffled nor leaves the JVM. Rows with equal keys share a side; a null key is never flagged.
     """
-    ranked = running_sum(df.withColumn("_u", hash_uniform(key, seed)).withColumn("_one", F.lit(1)),
-                         [], ["_u", key], "_one", "_rank")
-    n = df.agg(F.count(F.lit(1))).scalar()
-    cut = F.ceil(n * F.lit(frac))
-    return ranked.withColumn(flag, F.col("_rank") <= cut).drop("_u", "_one", "_rank")
+    u = hash_uniform(key, seed)
+    keys = df.select(u.alias("_u"), F.col(key).alias("_k"), F.floor(u * CUT_BUCKETS).alias("_b")).where(F.col("_u").isNotNull())
+    every = Window.partitionBy()
+    counts = keys.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.select("_b", "_c", F.sum("_c").over(Window.orderBy("_b")).alias("_to"), F.sum("_c").over(every).alias("_n"))
+    cut = F.ceil(F.col("_n") * F.lit(frac))
+    cut = counts.where((F.col("_to") >= cut) & (F.col("_to") - F.col("_c") < cut)).select("_b", (cut - F.col("_to") + F.col("_c")).alias("_r"))
+    ranked = keys.join(F.broadcast(cut), "_b").withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_u", "_k")))
+    last = ranked.where("_i = _r").select(F.struct("_u", "_k").alias("_last")).scalar()
+    return df.withColumn(flag, F.coalesce(u.isNotNull() & (F.struct(u.alias("_u"), F.col(key).alias("_k")) <= last), F.lit(False)))
 
 
 def exact_two_way_split(df: DataFrame, key: str, test_size: float, seed: int, out: str = "split",
