@@ -1,4 +1,4 @@
-"""Flow tests on the 30-row sale and rent frames: derived columns, sizes, splits."""
+"""Flow tests on the 40-row sale and rent frames: derived columns, sizes, splits."""
 
 from __future__ import annotations
 
@@ -16,43 +16,44 @@ from abode.plans.price import prepare_price_dataset, prepare_price_features
 
 def test_price_features(price_df):
     out = prepare_price_features(price_df)
-    assert out.count() == 30
-    r = out.first()
-    assert r["building_age"] == "relatively_new"       # 1395 -> age 9
-    assert r["luxury_score"] == "none" and r["non_luxury_score"] == "low"
-    assert r["rooms_count"] == "2_rooms"
+    rows = {r["listing_id"]: r for r in out.collect()}
+    assert len(rows) == 40
+    assert [rows[i]["building_age"] for i in (0, 1, 2)] == ["new", "mid_age", "old"]     # ages 3, 13 and 25
+    assert [rows[i]["rooms_count"] for i in (0, 1)] == ["1_room", "3_rooms"]
+    assert rows[1]["non_luxury_score"] == "none" and rows[2]["non_luxury_score"] == "low"  # row 2 has a lift only
+    assert [rows[i]["luxury_score"] == "none" for i in (0, 1)] == [False, True]             # row 0 has a pool
     assert "construction_year" not in out.columns and "has_pool" not in out.columns
 
 
 def test_price_dataset_exact_split(price_df):
     d = prepare_price_dataset(price_df, exact=True)
     counts = {r["split"]: r["count"] for r in d.groupBy("split").count().collect()}
-    assert counts == {"train": 24, "val": 6} == dict(zip(["train", "val"], expected_sizes(30, [0.2])))
-    row = d.first()
+    assert counts == {"train": 32, "val": 8} == dict(zip(["train", "val"], expected_sizes(40, [0.2])))
+    row = d.where("listing_id = 1").first()
     assert row["floor_cat"] == "low-height" and row["total_floors_cat"] == "low"
 
 
 def test_credit_features(credit_df):
     out = prepare_credit_features(credit_df)
-    assert out.count() == 30
+    assert out.count() == 40
     assert "total_credit" in out.columns and "rent_value" not in out.columns and "price_value" not in out.columns
     rows = {r["listing_id"]: r for r in out.collect()}
-    assert math.isclose(rows[3]["total_credit"], 2.6e9 + 3 * 2.6e7, rel_tol=1e-9)
-    r = rows[0]
+    assert math.isclose(rows[3]["total_credit"], 200 * 6.6e6 + 6 * 3.15e8, rel_tol=1e-9)
+    r = rows[1]
     assert (r["floor"], r["total_floors_count"], r["unit_per_floor"]) == ("low_floors", "mid_low_floors", "unselect")
-    assert r["cat3_slug"] == "apartment-sell"            # single level: not rare
+    assert r["cat3_slug"] == "apartment-rent"            # single level: not rare
 
 
 def test_credit_dataset_exact_three_way(credit_df):
     d = prepare_credit_dataset(credit_df, exact=True)
     counts = {r["split"]: r["count"] for r in d.groupBy("split").count().collect()}
-    assert counts == {"train": 21, "val": 4, "test": 5}
-    assert expected_sizes(30, [0.15, 0.1275]) == [21, 5, 4]
+    assert counts == {"train": 29, "val": 5, "test": 6}
+    assert expected_sizes(40, [0.15, 0.1275]) == [29, 6, 5]
 
 
 def test_credit_dataset_hash_split_nonempty(credit_df):
     d = prepare_credit_dataset(credit_df)
-    assert d.count() == 30
+    assert d.count() == 40
     assert set(r[0] for r in d.select("split").distinct().collect()) <= {"train", "val", "test"}
 
 

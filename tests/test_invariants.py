@@ -92,7 +92,7 @@ def test_pipeline_reload_scores_equal(spark, price_df, tmp_path):
     again = PipelineModel.load(p)
     a = [r["prediction"] for r in model.transform(d).orderBy("listing_id").collect()]
     b = [r["prediction"] for r in again.transform(d).orderBy("listing_id").collect()]
-    assert a == b and len(a) == 30
+    assert a == b and len(a) == 40
 
 
 def test_regression_metrics_match_numpy(spark):
