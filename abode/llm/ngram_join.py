@@ -294,3 +294,20 @@ def one_of_each_group(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PE
         first = Window.partitionBy("_nj_key").orderBy(F.xxhash64("_nj_row"))
         stay = stay.withColumn("_nj_n", F.row_number().over(first)).where("_nj_n = 1")
     return stay.select("_nj_row.*")
+
+
+def oracle(k: int = SHINGLE_WORDS, percent: int = PERCENT) -> str:
+    """DuckDB SQL of the query: all pairs with a common shingle, then the documents each one reaches."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {k} THEN list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.d),
+g AS (SELECT d, min(m) AS component_id FROM r GROUP BY d)
+SELECT q.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, g.component_id
+FROM documents q LEFT JOIN n ON n.doc_id = q.doc_id JOIN g ON g.d = q.doc_id"""

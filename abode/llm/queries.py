@@ -56,7 +56,7 @@ def op10(spark, sf_dir):
                         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
 
 
-@register("op8_ngram_join")
+@register("op8_ngram_join", ngram_join.oracle())
 def op8(spark, sf_dir):
     return ngram_join.components(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -86,7 +86,7 @@ def op5(spark, sf_dir):
                       F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
-@register("op7_suffix_dedup")
+@register("op7_suffix_dedup", suffix_dedup.oracle())
 def op7(spark, sf_dir):
     out = suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
