@@ -77,7 +77,6 @@ def e07(spark, sf_dir):
                                    "unique", "top", F.col("freq").cast("long").alias("freq"))
 
 
-_LIST_ALL = None
 
 
 def _listing_cols():

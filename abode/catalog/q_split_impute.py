@@ -69,7 +69,6 @@ def e01(spark, sf_dir):
     return I.collapse_rare(r, I.frequent_levels(r, ["cat3_slug", "cat2_slug"], 0.01), "Other")
 
 
-_FLOOR_SQL = "(CASE WHEN {n} < 0 THEN 0.0 ELSE {n} END)"
 
 
 @register("e02_mode_fill", with_listings(
