@@ -36,12 +36,12 @@ from abode.llm.wordhash import BYTE, mix64, powers
 
 POWER = 1.0
 SEED = 11
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 SPACE = 0x20
 BYTE_WEIGHT = 1e-3
 RESCALE_EVERY = 16
-KNOWN_UNITS = 200_000  # filtered units that a worker keeps for later batches
-SLOT_BITS = 22
+KNOWN_UNITS = 100_000  # filtered units that a worker keeps for later batches
+SLOT_BITS = 20
 PIECES_AT_ONCE = 1 << 20
 
 
