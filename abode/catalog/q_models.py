@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from abode.catalog import register
 from abode.catalog.sqltext import hash_u, price_dataset_sql, price_features_sql, with_listings
-from abode.config import BENCH_MODELS, PRICE
+from abode.config import BENCH_MODELS, PRICE, SEARCH
 from abode.operators import encode as K
 from abode.operators import metrics as M
 from abode.operators import models as MD
@@ -188,11 +188,19 @@ def k10b(spark, sf_dir):
     return MD.what_if(models, val, SCENARIOS, PRICE["inference_columns"], "price_value")
 
 
+def _search(spark, sf_dir, learner):
+    trials = MD.sample_param_maps(SEARCH[learner]["space"], SEARCH[learner]["trials"], seed=42)
+    return MD.parameter_search(_price_data(spark, sf_dir), PRICE, learner, trials, PRICE_NUMERIC)
+
+
 @register("k11_parameter_search")
 def k11(spark, sf_dir):
-    space = {"n_estimators": [5, 10], "max_depth": [4, 6], "min_samples_leaf": [1, 5], "random_state": [42]}
-    trials = MD.sample_param_maps(space, 3, seed=42)
-    return MD.parameter_search(_price_data(spark, sf_dir), PRICE, "random_forest", trials, PRICE_NUMERIC)
+    return _search(spark, sf_dir, "random_forest")
+
+
+@register("k11b_boosting_search")
+def k11b(spark, sf_dir):
+    return _search(spark, sf_dir, "lightgbm")
 
 
 # ---- SQL-expressible metrics over a baseline predictor (train city mean, train mean) ----
