@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from abode.catalog import register
 from abode.catalog.sqltext import hash_u, price_dataset_sql, price_features_sql, with_listings
-from abode.config import BENCH_MODELS, PRICE, SEARCH
+from abode.config import PRICE, SEARCH
 from abode.operators import encode as K
 from abode.operators import metrics as M
 from abode.operators import models as MD
@@ -126,33 +126,35 @@ def _price_data(spark, sf_dir):
     return materialize(prepare_price_dataset(listing_view(spark, sf_dir)), "price-prepared", "split")
 
 
-def _trained(spark, sf_dir, presets=None):
-    presets = presets or {"random_forest": BENCH_MODELS["random_forest"], "gbt": BENCH_MODELS["gbt"]}
-    return MD.train_and_evaluate(_price_data(spark, sf_dir), PRICE, presets, PRICE_NUMERIC, eval_splits=("val",))
+def _trained(spark, sf_dir, *names, presets=None):
+    """Models of the task's own presets, or of those given; all of them, or those named."""
+    presets = PRICE["models"] if presets is None else presets
+    return MD.train_and_evaluate(_price_data(spark, sf_dir), PRICE, {n: presets[n] for n in names or presets}, PRICE_NUMERIC,
+                                 eval_splits=("val",))
 
 
 @register("k07_train_evaluate")
-def k07(spark, sf_dir):
-    _, _, metrics = _trained(spark, sf_dir)
+def k07(spark, sf_dir, presets=None):
+    _, _, metrics = _trained(spark, sf_dir, presets=presets)
     return metrics
 
 
 @register("k05_random_forest_predictions")
 def k05(spark, sf_dir):
-    _, preds, _ = _trained(spark, sf_dir, {"random_forest": BENCH_MODELS["random_forest"]})
+    _, preds, _ = _trained(spark, sf_dir, "random_forest")
     return preds
 
 
 @register("k06_gbt_predictions")
 def k06(spark, sf_dir):
-    _, preds, _ = _trained(spark, sf_dir, {"gbt": BENCH_MODELS["gbt"]})
+    _, preds, _ = _trained(spark, sf_dir, "lightgbm")
     return preds
 
 
 @register("k08_pipeline_save_load_score")
 def k08(spark, sf_dir):
     """A6 + K8 + K9: fit encoders+forest once, save, reload, batch-score val rows."""
-    models, _, _ = _trained(spark, sf_dir, {"random_forest": BENCH_MODELS["random_forest"]})
+    models, _, _ = _trained(spark, sf_dir, "random_forest")
     path = scratch_path(spark, "price-rf-pipeline")
     models["random_forest"].write().overwrite().save(path)
     loaded = PipelineModel.load(path)
@@ -183,7 +185,7 @@ def k10(spark, sf_dir):
 
 @register("k10b_what_if_scores")
 def k10b(spark, sf_dir):
-    models, _, _ = _trained(spark, sf_dir, {"random_forest": BENCH_MODELS["random_forest"]})
+    models, _, _ = _trained(spark, sf_dir, "random_forest")
     val = _price_data(spark, sf_dir).where(F.col("split") == "val")
     return MD.what_if(models, val, SCENARIOS, PRICE["inference_columns"], "price_value")
 
