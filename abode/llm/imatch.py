@@ -9,15 +9,18 @@ by hash. A document's fingerprint lists, for each subset, the hash of the docume
 distinct words in it, or ``-`` if it has none. The likeness of two fingerprints is the share of equal
 entries among the subsets in which either has words.
 
-``with_next`` pairs each document with the next in descending doc_id without a global sort:
-quantiles of doc_id cut the documents into blocks of about ``BLOCK_BYTES`` of text, a block is
-one group, and only each block's first and last document meet their neighbour block's in a join.
-Texts travel as compressed blobs, one for each task and block.
+``compare_with_next`` pairs each document with the next in descending doc_id: the documents are
+range-partitioned and sorted by (doc_id, the first ``PREFIX`` characters, a hash of the text), and a
+task streams its sorted rows, keeping only the row before and parts of ``BATCH_BYTES`` of text (a longer
+text is alone). Equal rows are dealt out by their place in the input, so no doc_id gathers in one
+task. Only each partition's first and last document meet their neighbour partition's in a join.
+Texts travel as one compressed frame each.
 
 Defined results: null text is empty; a text without words in any subset has ``=`` and the hash of its
-bytes as fingerprint, so it is like equal texts only; rows of equal doc_id are ordered by text;
+bytes as fingerprint, so it is like equal texts only; rows of equal doc_id are ordered by their first
+``PREFIX`` characters, then by xxhash64 of the text;
 a null doc_id comes last; a single row is its own next; an empty table gives an empty result.
-Rows of one doc_id share a block. Other columns are ignored.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abode.llm.arrowtext import by_bytes, utf8
 from abode.llm.wordhash import distinct, mix64, words
-from abode.session import materialize
+from abode.session import scratch_path
 
 IDF_BAND = (1.0, 7.0)
 SUBSETS = 32
@@ -42,6 +46,7 @@ KEEP_ONE_IN = 64
 MAX_LEXICON = 1 << 23
 BLOCK_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
+PREFIX = 64
 MERGE_AT = 1 << 22
 NULL_ID = -(1 << 63)
 
@@ -146,38 +151,23 @@ def _edited(rows: list[tuple[int, str, str, str, str]], lex: np.ndarray) -> pd.D
     return pd.DataFrame(out, columns=OUT_NAMES).astype({"doc_id": "Int64"})
 
 
-def _blobs(bounds):
-    """Rows (doc_id, text) -> one compressed blob of Arrow rows for each block that a batch touches."""
-    import zstandard
+PACKED = "id long, head string, hash long, place long, blob binary"
 
-    def run(batches):
-        packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            rows = pa.table({"id": batch.column(0), "text": batch.column(1)})
-            block = np.searchsorted(bounds, batch.column(0).to_numpy(), side="left")
-            order = np.argsort(block, kind="stable")
-            found, first = np.unique(block[order], return_index=True)
-            ends = np.append(first[1:], len(order))
-            packed = []
-            for a, b in zip(first, ends):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema) as writer:
-                    writer.write_table(rows.take(pa.array(order[a:b])))
-                packed.append(packer.compress(sink.getvalue().to_pybytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(packed, pa.binary())], names=["block", "blob"])
-
-    return run
-
-
-def _read_block(blobs) -> list[tuple[int, str]]:
+
+def _pack(batches):
+    """Rows with their text as one compressed frame each, so that the exchange carries less."""
     import zstandard
-    unpack = zstandard.ZstdDecompressor()
-    rows = []
-    for blob in blobs:
-        t = pa.ipc.open_stream(unpack.decompress(blob)).read_all()
-        rows += zip(t["id"].to_pylist(), t["text"].to_pylist())
-    rows.sort(key=lambda r: (-r[0], r[1]))
-    return rows
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        blobs = pa.array([packer.compress(t.encode()) for t in batch.column(4).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], blobs], names=[c.split()[0] for c in PACKED.split(", ")])
+
+
+def in_order(rows: DataFrame, parts: int) -> DataFrame:
+    """(id, text) -> (id, blob), range-partitioned and sorted; ``place`` only deals out equal rows."""
+    keyed = rows.select("id", F.substring("text", 1, PREFIX), F.xxhash64("text"), F.monotonically_increasing_id(), "text")
+    keys = [F.col("id").desc(), F.col("head").asc(), F.col("hash").asc()]
+    return keyed.mapInArrow(_pack, PACKED).repartitionByRange(parts, *keys, "place").sortWithinPartitions(*keys).select("id", "blob")
 
 
 def compare_with_next(docs: DataFrame, band=IDF_BAND, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -185,36 +175,50 @@ def compare_with_next(docs: DataFrame, band=IDF_BAND, block_bytes: int = BLOCK_B
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     n_docs, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    n_blocks = max(1, -(-n_bytes // block_bytes))
-    cuts = rows.select("id").agg(F.percentile_approx("id", [i / n_blocks for i in range(1, n_blocks)] + [1.0], 20 * n_blocks)).first()[0]
-    bounds = np.array(sorted(set(cuts or [])), np.int64)  # the last id of each block, so no block is empty
     lex = spark.sparkContext.broadcast(lexicon(rows, n_docs, band))
-    last_block = len(bounds) - 1
-
-    def of_block(table: pa.Table) -> pa.Table:
-        own = _read_block(table["blob"].to_pylist())
-        prints = _of_texts([t for _, t in own], lex.value)
-        full = [(i, t, p) for (i, t), p in zip(own, prints)]
-        out = _edited([(*x, *y[1:]) for x, y in zip(full, full[1:])], lex.value)
-        ends = pd.DataFrame([("head", *full[0]), ("tail", *full[-1])], columns=["end", "doc_id", "text", "fingerprint"])
-        out = pd.concat([out, ends.astype({"doc_id": "Int64"})])
-        out["block"] = table["block"][0].as_py()
-        return pa.Table.from_pandas(out[[*OUT_NAMES, "end", "text", "block"]], schema=schema, preserve_index=False)
+
+    def batch_of(out: pd.DataFrame) -> list[pa.RecordBatch]:
+        out = out.reindex(columns=names).astype({"doc_id": "Int64", "block": "Int64"})
+        return pa.Table.from_pandas(out, schema=schema, preserve_index=False).to_batches()
+
+    def of_part(batches):
+        import zstandard
+        unpack = zstandard.ZstdDecompressor()
+        first = before = None
+        for batch in batches:
+            ids, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            off = np.cumsum([0, *(zstandard.frame_content_size(x) for x in blobs)])
+            for a, b in by_bytes(off, BATCH_BYTES):
+                texts = [unpack.decompress(x).decode() for x in blobs[a:b]]
+                own = list(zip(ids[a:b], texts, _of_texts(texts, lex.value)))
+                first = first or own[0]
+                chain = [before, *own] if before else own
+                before = own[-1]
+                if len(chain) > 1:
+                    yield from batch_of(_edited([(*x, *y[1:]) for x, y in zip(chain, chain[1:])], lex.value))
+        if first:
+            ends = pd.DataFrame([("head", *first), ("tail", *before)], columns=["end", "doc_id", "text", "fingerprint"])
+            yield from batch_of(ends.assign(block=TaskContext.get().partitionId()))
 
     kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
     spec = OUT + ", end string, text string, block long"
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in spec.split(", ")])
-    blobs = rows.mapInArrow(_blobs(bounds), "block long, blob binary")
-    parts = materialize(blobs.groupBy("block").applyInArrow(of_block, spec), "imatch-blocks")
-
-    # a block's last document is followed by the first of the block below, the lowest by that of the top block
-    tails = parts.where("end = 'tail'").select("doc_id", "text", "fingerprint", F.when(F.col("block") > 0, F.col("block") - 1).otherwise(F.lit(last_block)).alias("below"))
+    names = schema.names
+    path = scratch_path(spark, "imatch-parts")
+    in_order(rows, max(1, -(-n_bytes // block_bytes))).mapInArrow(of_part, spec).write.option("compression", "zstd").parquet(path)
+    parts = spark.read.schema(spec).parquet(path)
+
+    # a partition's last document is followed by the first of the next one that has rows, the last by the very first
+    held = sorted(r.block for r in parts.where("end = 'head'").select("block").collect())  # one number a partition
+    after = spark.createDataFrame(list(zip(held, held[1:] + held[:1])), "block long, below long")
+    tails = parts.where("end = 'tail'").select("doc_id", "text", "fingerprint", "block").join(F.broadcast(after), "block")
     heads = parts.where("end = 'head'").select(F.col("block").alias("below"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
 
-    def of_ends(frames):
-        for f in frames:
-            if len(f):
-                yield _edited(list(zip(f["doc_id"], f["text"], f["fingerprint"], f["next_text"], f["next_fingerprint"])), lex.value)
+    def of_ends(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                out = _edited([(row["doc_id"], row["text"], row["fingerprint"], row["next_text"], row["next_fingerprint"])], lex.value)
+                yield from pa.Table.from_pandas(out, schema=pa.schema(list(schema)[:len(OUT_NAMES)]), preserve_index=False).to_batches()
 
-    ends = tails.join(heads, "below").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInPandas(of_ends, OUT)
+    ends = tails.join(heads, "below").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInArrow(of_ends, OUT)
     return parts.where("end IS NULL").select(*OUT_NAMES).unionByName(ends)

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from abode.llm import (chat_format, imatch, mixing, ngram_join, piece_sampling, quality_model, quality_rules, registry,
                        secret_scan, suffix_dedup, token_counts)
@@ -217,6 +218,19 @@ def test_imatch_against_brute_force(spark):
     assert len(single) == 1 and single[0].near_next == 1.0
 
 
+def test_imatch_ties_and_long_texts_are_dealt_out(spark):
+    # a third without doc_id, a third one repeated row, and long texts next to each other
+    rows = [(None, prose(20, i)) for i in range(300)] + [(7, "same words in every copy")] * 300 + [(1000 + i, prose(20, i) * (30 if i < 50 else 1)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rows = docs.select(F.coalesce("doc_id", F.lit(imatch.NULL_ID)).alias("id"), "text")
+    sizes = [r["count"] for r in imatch.in_order(rows, 12).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 200
+    ordered = sorted(((r.id, r.text) for r in rows.collect()), key=lambda r: (-r[0], r[1]))
+    out = imatch.compare_with_next(docs, block_bytes=8_000).collect()
+    edited = [t[:len(t) - len(t) // 2] + ordered[(k + 1) % len(ordered)][1][:len(t) // 2] for k, (_, t) in enumerate(ordered)]
+    assert sorted(r.edited_sha256 for r in out) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in edited)
+
+
 def test_imatch_band_counts_all_documents(spark):
     docs = edge_docs(spark)
     want: dict = {}
