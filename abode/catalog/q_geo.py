@@ -77,6 +77,18 @@ def m03(spark, sf_dir):
     return out.select("target", "neighbour", F.round("distance", 6).alias("distance"), "rank")
 
 
+@register("m03b_similar_neighbourhoods_by_city", with_listings(_PROF_SQL.replace("z AS (SELECT neighborhood_slug,", "z AS (SELECT city_slug, neighborhood_slug,") + """,
+d AS (SELECT t.city_slug AS target_city, t.neighborhood_slug AS target, z.city_slug AS neighbour_city, z.neighborhood_slug AS neighbour,
+             sqrt(0.0 + (z.a - t.a) * (z.a - t.a) + (z.b - t.b) * (z.b - t.b) + (z.c - t.c) * (z.c - t.c) + (z.d - t.d) * (z.d - t.d)) AS distance
+      FROM z JOIN z t ON z.neighborhood_slug <> t.neighborhood_slug OR z.city_slug IS DISTINCT FROM t.city_slug
+      WHERE t.neighborhood_slug IN (""" + ", ".join(f"'{t}'" for t in TARGETS) + """)),
+r AS (SELECT *, row_number() OVER (PARTITION BY target_city, target ORDER BY distance, neighbour, neighbour_city NULLS FIRST) AS rank FROM d)
+SELECT target_city, target, neighbour_city, neighbour, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""))
+def m03b(spark, sf_dir):
+    out = G.similar_neighbourhoods(G.neighbourhood_profiles(_features(spark, sf_dir)), TARGETS, k=5)
+    return out.select("target_city", "target", "neighbour_city", "neighbour", F.round("distance", 6).alias("distance"), "rank")
+
+
 @register("m04_summaries_by_city_class", with_listings(_CLS_SQL + "\n" + "\nUNION ALL\n".join(
     f"SELECT city_class, '{c}' AS column_name, count({c}) AS count, round(avg({c}), 1) AS mean, "
     f"round(quantile_cont({c}, 0.5), 4) AS median, round(stddev_samp({c}), 1) AS std FROM fc "

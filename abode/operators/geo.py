@@ -41,30 +41,37 @@ def neighbourhood_profiles(df: DataFrame, key: str = "neighborhood_slug") -> Dat
         F.avg("building_size").alias("mean_size"), F.avg(LAT).alias("lat"), F.avg(LON).alias("lon")))
 
 
-def similar_neighbourhoods(profiles: DataFrame, targets: Sequence[str], k: int = 5,
-                           key: str = "neighborhood_slug") -> DataFrame:
+def similar_neighbourhoods(profiles: DataFrame, targets: Sequence, k: int = 5,
+                           key: str = "neighborhood_slug", city: str = "city_slug") -> DataFrame:
     """M3: the ``k`` nearest neighbourhoods to each requested one (standardised profile distance).
 
+    A neighbourhood is a (city, slug); profiles without a city column are told apart by slug alone.
+    A target is a ``(city, slug)`` pair or a slug, which asks for that slug in each of its cities.
     Each target is one distributed top-k (``orderBy(distance).limit(k)`` keeps ``k`` rows per
     task and merges); targets are a short user list, so the loop is over requests, not data.
     """
     feats = ["price_per_m2", "mean_size", "lat", "lon"]
+    by = {"city": city, "": key} if city in profiles.columns else {"": key}
     stats = profiles.agg(*[F.avg(c).alias(f"_m_{c}") for c in feats], *[F.stddev_samp(c).alias(f"_s_{c}") for c in feats]).first()
     # only complete profiles can be compared (a neighbourhood without coordinates is skipped)
     # and a constant feature separates none: its score is 0
-    z = profiles.select(key, *[((F.col(c) - stats[f"_m_{c}"]) / (stats[f"_s_{c}"] or 1.0)).alias(c) for c in feats]).na.drop(
+    z = profiles.select(*by.values(), *[((F.col(c) - stats[f"_m_{c}"]) / (stats[f"_s_{c}"] or 1.0)).alias(c) for c in feats]).na.drop(
         "any", subset=feats)
+    named = {"city": "target_city", "": "target"}, {"city": "neighbour_city", "": "neighbour"}
     out = None
     for t in targets:
-        tgt = z.where(F.col(key) == t).select(*[F.col(c).alias(f"_t_{c}") for c in feats]).first()
-        if tgt is None:
-            continue
-        dist = F.sqrt(sum(((F.col(c) - F.lit(tgt[f"_t_{c}"])) ** 2 for c in feats), F.lit(0.0)))
-        top = (z.where(F.col(key) != t).select(F.lit(t).alias("target"), F.col(key).alias("neighbour"), dist.alias("distance"))
-               .orderBy("distance", "neighbour").limit(k))
-        # ``top`` holds k rows: numbering them in one task is fine.
-        ranked = top.withColumn("rank", F.row_number().over(Window.orderBy("distance", "neighbour")))
-        out = ranked if out is None else out.unionByName(ranked)
+        asked = F.col(key) == t if isinstance(t, str) else F.col(city).eqNullSafe(t[0]) & (F.col(key) == t[1])
+        for tgt in z.where(asked).orderBy(*by.values()).collect():  # one row per city that has the slug
+            itself = F.lit(True)
+            for c in by.values():
+                itself = itself & F.col(c).eqNullSafe(F.lit(tgt[c]))
+            dist = F.sqrt(sum(((F.col(c) - F.lit(tgt[c])) ** 2 for c in feats), F.lit(0.0)))
+            top = (z.where(~itself).select(*[F.lit(tgt[c]).cast("string").alias(named[0][n]) for n, c in by.items()],
+                                           *[F.col(c).alias(named[1][n]) for n, c in by.items()], dist.alias("distance"))
+                   .orderBy("distance", "neighbour", *[named[1][n] for n in by if n]).limit(k))
+            # ``top`` holds k rows: numbering them in one task is fine.
+            ranked = top.withColumn("rank", F.row_number().over(Window.orderBy("distance", "neighbour", *[named[1][n] for n in by if n])))
+            out = ranked if out is None else out.unionByName(ranked)
     return out
 
 
