@@ -5,7 +5,7 @@ whose inverse document frequency ``ln(documents / count)`` lies in ``IDF_BAND``;
 count bounds its size by ``exp(IDF_BAND[1]) * distinct words per document``, whatever the
 corpus size, and it is sent to the tasks as sorted 64-bit word hashes (``MAX_LEXICON``: an
 error above). ``SUBSETS`` random subsets of the lexicon each hold one word in ``KEEP_ONE_IN``,
-by hash. A document's fingerprint lists, for each subset, the hash of the document's sorted
+by hash, and besides every word belongs to one of them by another hash, so the subsets cover the lexicon. A document's fingerprint lists, for each subset, the hash of the document's sorted
 distinct words in it, or ``-`` if it has none. The likeness of two fingerprints is the share of equal
 entries among the subsets in which either has words.
 
@@ -16,7 +16,7 @@ text is alone). Equal rows are dealt out by their place in the input, so no doc_
 task. Only each partition's first and last document meet their neighbour partition's in a join.
 Texts travel as one compressed frame each.
 
-Defined results: null text is empty; a text without words in any subset has ``=`` and the hash of its
+Defined results: null text is empty; a text without words of the lexicon has ``=`` and the hash of its
 bytes as fingerprint, so it is like equal texts only; rows of equal doc_id are ordered by their first
 ``PREFIX`` characters, then by xxhash64 of the text;
 a null doc_id comes last; a single row is its own next; an empty table gives an empty result.
@@ -106,8 +106,9 @@ def fingerprints(data: np.ndarray, off: np.ndarray, lex: np.ndarray, subsets: in
     rows = np.concatenate([[0], np.cumsum(held)])[rows]
     terms = terms[held]
     parts = []
+    home = mix64(terms ^ mix64(np.array([subsets + 1], np.uint64))) % np.uint64(subsets)
     for j in range(subsets):
-        keep = mix64(terms ^ mix64(np.array([j + 1], np.uint64))) % np.uint64(one_in) == 0
+        keep = (mix64(terms ^ mix64(np.array([j + 1], np.uint64))) % np.uint64(one_in) == 0) | (home == j)
         cut = np.concatenate([[0], np.cumsum(keep)])[rows].tolist()
         kept = terms[keep].tobytes()
         parts.append([xxhash.xxh32_hexdigest(kept[8 * a:8 * b]) if b > a else "-" for a, b in zip(cut[:-1], cut[1:])])

@@ -231,6 +231,15 @@ def test_imatch_ties_and_long_texts_are_dealt_out(spark):
     assert sorted(r.edited_sha256 for r in out) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in edited)
 
 
+def test_imatch_subsets_cover_the_lexicon():
+    vocabulary = [f"word{i}" for i in range(2000)]
+    hashes = np.unique(imatch._terms(*utf8(pa.array([" ".join(vocabulary)])))[0])
+    prints = imatch.fingerprints(*utf8(pa.array(vocabulary + ["unknown"])), hashes)
+    assert not any(p.startswith("=") for p in prints[:-1]) and prints[-1].startswith("=")
+    near = imatch.fingerprints(*utf8(pa.array(["word1 word2 stop", "word1 word2 other"])), hashes)
+    assert imatch.likeness(*near) == 1.0
+
+
 def test_imatch_band_counts_all_documents(spark):
     docs = edge_docs(spark)
     want: dict = {}
