@@ -26,6 +26,13 @@ def b01(spark, sf_dir):
     return B.missing_columns(spark, listing_view(spark, sf_dir), _REQ)
 
 
+@register("b01b_required_column_counts", with_listings("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, " + (f"count({c}) AS n_rows FROM listings" if c in RAW_REQUIRED_COLUMNS else "CAST(NULL AS BIGINT) AS n_rows")
+    for c in _REQ)))
+def b01b(spark, sf_dir):
+    return B.column_counts(listing_view(spark, sf_dir), _REQ)
+
+
 def _rule_sql(r: B.Rule, src: str, split: str | None, numeric: bool) -> str:
     c = r.column
     if r.kind == "not_null":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from abode.catalog import register
 from abode.catalog.sqltext import hash_u, price_features_sql, with_listings
 from abode.operators import drift as L
+from abode.operators.contracts import column_counts
 from abode.operators.split import two_way_split
 from abode.plans.price import prepare_price_features
 from abode.session import scratch_path
@@ -114,6 +115,15 @@ def l01(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in cols], "column_name string")
 
 
+@register("l01b_common_column_counts", with_listings(_PRICE_SIDES_SQL.rstrip(",\n") + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, '{side}' AS side, count({c}) AS n_rows FROM {side}" for c in P_NUM + P_CAT for side in ("ref", "cur"))))
+def l01b(spark, sf_dir):
+    ref, cur = _price_sides(spark, sf_dir)
+    cols = L.common_columns(ref, cur, P_SUBSET)
+    ref, cur = (column_counts(d, cols).select("column_name", F.lit(side).alias("side"), "n_rows") for side, d in (("ref", ref), ("cur", cur)))
+    return ref.unionByName(cur)
+
+
 @register("l05_dataset_drift", _LI_SIDES_SQL + drift_sql(LI_NUM, LI_CAT).replace(
     "\nSELECT column_name, kind, stat, round(score, 8) AS score", ",\nfin AS (SELECT column_name, kind, stat, round(score, 8) AS score", 1)
     + ")\nSELECT count(*) AS n_columns, count_if(drift) AS n_drifted, count_if(drift) / count(*) AS share_drifted, "

@@ -54,6 +54,12 @@ def missing_columns(spark: SparkSession, df: DataFrame, required: Sequence[str])
     return spark.createDataFrame(rows, "column_name string")
 
 
+def column_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Non-null rows of each named column, null where the frame has no such column; one aggregate."""
+    held = [F.struct(F.lit(c).alias("column_name"), (F.count(c) if c in df.columns else F.lit(None).cast("long")).alias("n_rows")) for c in names]
+    return df.agg(F.array(*held).alias("c")).select(F.inline("c"))
+
+
 def price_rules(cfg: dict = PRICE) -> list[Rule]:
     """Processed sale frames: target and size present and inside bounds, city and category present."""
     o, t = cfg["outliers"], cfg["target_column"]
