@@ -1,10 +1,11 @@
-"""Registered queries of the ten operators: each applies one to its whole table."""
+"""Registered queries of the operators: each applies one to its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abode.llm import chat_format, imatch, mixing, ngram_join, piece_sampling, quality_model, quality_rules, secret_scan, suffix_dedup, token_counts
+from abode.llm import (chat_format, imatch, mixing, ngram_join, piece_sampling, quality_model, quality_rules, secret_scan, suffix_dedup,
+                       token_counts, turn_repair, url_filter, vector_codes)
 from abode.llm.registry import documents, register, table
 from abode.session import materialize
 
@@ -92,3 +93,32 @@ def op7(spark, sf_dir):
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op11_url_filter", url_filter.oracle())
+def op11(spark, sf_dir):
+    out = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op12_turn_repair", turn_repair.oracle())
+def op12(spark, sf_dir):
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = turn_repair.damaged(chats)
+    plans = materialize(turn_repair.plan_repairs(damaged), "turn-plans")
+    said = turn_repair.digests(turn_repair.repaired_turns(damaged, plans))
+    same = [F.col("conv_id").eqNullSafe(F.col(c)) for c in ("_plan", "_said")]
+    out = (chats.select("conv_id").distinct()
+           .join(plans.withColumnRenamed("conv_id", "_plan"), same[0], "left")
+           .join(said.withColumnRenamed("conv_id", "_said"), same[1], "left"))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@register("op13_vector_codes", vector_codes.oracle())
+def op13(spark, sf_dir):
+    out, books = vector_codes.encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+                      F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
