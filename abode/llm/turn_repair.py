@@ -7,9 +7,11 @@ end. Stacks are nodes of one graph, a node being (state, node below), so stacks
 common and equal stacks are the same node. Of the repairs that reach one node the parser
 keeps that with the least (cost, audit); an audit is the initials of the edits.
 
+A repair is given up once another is so much cheaper that it stays so whatever follows (``_leads``).
+
 Two audits at one place have the same number of edits that consume a turn and end in one, so neither
 begins with the other, and their order stays when both go on. Hence a frontier is a small
-set of (node, cost above the least, rank of the audit), only finitely many frontiers occur, and
+set of (node, cost above the least, rank of the audit), only finitely many of them occur, and
 what one kind of turn makes of one frontier is computed once per worker (``Parser.step``). A turn
 costs one lookup; per conversation one reference a turn is kept to read the audit back.
 
@@ -26,6 +28,7 @@ deleted; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import pyarrow as pa
@@ -42,6 +45,7 @@ END = "$"
 NO_SPACE = r"[^\x20\x09-\x0D]"
 FAULTS = ("", "blank", "duplicate", "truncated")
 LONGEST = (1 << 63) - 1
+STACKS = 64                   # a grammar with more different stacks keeps all repairs under way
 
 
 class Parser:
@@ -68,6 +72,7 @@ class Parser:
                         self.reduce[i, t] = r
         self.nodes, self.known, self.shifts, self.steps = [(0, None)], {(0, None): 0}, {}, {}
         self.start = ((0, 0, 0),)  # frontier: (node, cost above the least, rank of the audit)
+        self.lead = self._leads()
 
     def _closure(self, items, heads):
         items = set(items)
@@ -125,6 +130,51 @@ class Parser:
                     queue.append(nxt)
         return list(out.items())
 
+    def _moves(self, node: int, kind) -> dict[int, int]:
+        """Node -> least cost of what a turn's kind can make of a node."""
+        symbol, must_go, cut = kind
+        out = {node: self.costs["D"]}
+        for top, inserts in [] if must_go else self._with_inserts(node):
+            for t in {symbol, *self.editable}:
+                nxt = self.shift(top, t)
+                if nxt is not None:
+                    paid = len(inserts) * self.costs["I"] + (self.truncated if cut else 0) + self.costs["K" if t == symbol else "R"]
+                    out[nxt] = min(paid, out.get(nxt, paid))
+        return out
+
+    def _leads(self) -> dict[tuple[int, int], int]:
+        """(a, b) -> lead by which b must be cheaper than a so that whatever follows, b ends cheaper.
+
+        What b loses at most while it follows a: the most over a's moves of the least over b's, repeated until nothing
+        changes. Pairs that keep losing have no lead. A grammar without finitely many stacks has none at all.
+        """
+        symbols = sorted({x for _, body in self.grammar for x in body} - {h for h, _ in self.grammar})
+        kinds = [(x, False, cut) for x in (*symbols, "") for cut in (False, True)]
+        moves, seen = {}, [0]
+        for node in seen:  # grows while it is read
+            for kind in kinds:
+                moves[node, kind] = self._moves(node, kind)
+                seen += [n for n in moves[node, kind] if n not in seen]
+            if len(seen) > STACKS:
+                return {}
+        ends = {n: min((len(i) * self.costs["I"] for top, i in self._with_inserts(n) if self.shift(top, END)), default=None) for n in seen}
+        pairs = [(a, b) for a in seen for b in seen if a != b and None not in (ends[a], ends[b])]
+        lead = {(a, b): max(0, ends[b] - ends[a]) for a, b in pairs} | {(a, a): 0 for a in seen}
+        for _ in range(len(seen)):
+            after = dict(lead)
+            for a, b in pairs:
+                if (a, b) in lead:
+                    worst = [min((cb + lead[x, y] - ca for y, cb in moves[b, k].items() if (x, y) in lead), default=None)
+                             for k in kinds for x, ca in moves[a, k].items()]
+                    if None in worst:
+                        del after[a, b]
+                    else:
+                        after[a, b] = max(lead[a, b], *worst)
+            if after == lead:
+                return lead
+            lead = after
+        return {pair: v for pair, v in lead.items() if pair[0] == pair[1]}
+
     def step(self, frontier, kind):
         """(next frontier, least cost, per slot (slot before, edits)) of a turn's ``kind`` (symbol, must go, truncated)."""
         if (frontier, kind) not in self.steps:
@@ -142,6 +192,7 @@ class Parser:
                     offer(self.shift(top, symbol), paid + self.costs["K"], rank, slot, inserts + "K")
                     for t in self.editable:
                         offer(self.shift(top, t), paid + self.costs["R"], rank, slot, inserts + "R")
+            best = {n: v for n, v in best.items() if not any((n, m) in self.lead and v[0] > w[0] + self.lead[n, m] for m, w in best.items())}
             least = min(b[0] for b in best.values())
             ranks = {key: i for i, key in enumerate(sorted({(rank, edits) for _, rank, edits, _ in best.values()}))}
             order = sorted(best)
@@ -162,6 +213,12 @@ class Parser:
         return walk.end()
 
 
+@functools.cache
+def shared_parser() -> Parser:
+    """One parser per worker process: its steps serve all conversations."""
+    return Parser()
+
+
 class Walk:
     """A parse in progress: the frontier and, per turn, where each slot came from."""
 
@@ -211,7 +268,7 @@ def plan_repairs(chats: DataFrame) -> DataFrame:
     kind = chats.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
-        parser, conv, walk = Parser(), None, None
+        parser, conv, walk = shared_parser(), None, None
 
         def result():
             cost, audit = walk.end()
