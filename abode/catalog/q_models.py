@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from abode.catalog import register
 from abode.catalog.sqltext import hash_u, price_dataset_sql, price_features_sql, with_listings
-from abode.config import PRICE, SEARCH
+from abode.config import CREDIT, PRICE, SEARCH
 from abode.operators import encode as K
 from abode.operators import metrics as M
 from abode.operators import models as MD
+from abode.operators import search as SR
 from abode.operators.split import hash_uniform, two_way_split
+from abode.plans.credit import prepare_credit_dataset
 from abode.plans.price import prepare_price_dataset, prepare_price_features
-from abode.session import scratch_path
+from abode.session import materialize, scratch_path
 from abode.sources import files as A
 from abode.sources.listing_view import listing_view
 
@@ -122,7 +124,6 @@ def k04(spark, sf_dir):
 
 def _price_data(spark, sf_dir):
     """The prepared price dataset, written once: model fits run many jobs over it."""
-    from abode.session import materialize
     return materialize(prepare_price_dataset(listing_view(spark, sf_dir)), "price-prepared", "split")
 
 
@@ -190,9 +191,14 @@ def k10b(spark, sf_dir):
     return MD.what_if(models, val, SCENARIOS, PRICE["inference_columns"], "price_value")
 
 
+def _credit_data(spark, sf_dir):
+    """The prepared credit dataset, written once."""
+    return materialize(prepare_credit_dataset(listing_view(spark, sf_dir)), "credit-prepared", "split")
+
+
 def _search(spark, sf_dir, learner):
-    trials = MD.sample_param_maps(SEARCH[learner]["space"], SEARCH[learner]["trials"], seed=42)
-    return MD.parameter_search(_price_data(spark, sf_dir), PRICE, learner, trials, PRICE_NUMERIC)
+    """The reference's searches: on credit, with its ranges and trial counts."""
+    return SR.parameter_search(_credit_data(spark, sf_dir), CREDIT, learner, SEARCH[learner]["space"], SEARCH[learner]["trials"], PRICE_NUMERIC)
 
 
 @register("k11_parameter_search")

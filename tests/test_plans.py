@@ -5,21 +5,23 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
+from abode.catalog import ORACLE, QUERIES, load_all
 from tests.conftest import SF0001
 
-PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
+load_all()
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF",
+                "MapInArrow", "FlatMapGroupsInArrow", "FlatMapCoGroupsInArrow", "FlatMapCoGroupsInPandas")
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql_checked_queries_stay_in_the_jvm(spark, name):
     if name.startswith(("a0", "i01", "n0", "k0", "k1")):
         pytest.skip("writes files or fits models while building")
-    plan = _plan(E.queries()[name](spark, SF0001))
+    plan = _plan(QUERIES[name](spark, SF0001))
     assert not any(p in plan for p in PYTHON_NODES), name
 
 
