@@ -27,7 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from abode.llm.joins import BROADCAST_ROWS, attach
 from abode.operators.split import hash_uniform
+from abode.session import materialize
 
 WEIGHTS = (5, 2, 1)  # by rank of the source, repeating
 MAX_REPEAT = 3
@@ -101,6 +103,26 @@ def emit(mixed: DataFrame) -> DataFrame:
     return rows.drop("_mx_copy", "source_size", "target", "copies")
 
 
+def row_identity(df: DataFrame) -> Column:
+    """128 bits of a row's values, as text; equal for equal rows only."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return F.concat_ws("-", F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns))
+
+
+def emit_to(df: DataFrame, mixed: DataFrame, identity: str = "_mx_id", bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``df`` as often as ``mixed`` (``mix`` of a written table of keys, sizes and ``identity``) says; whole rows stay where they are.
+
+    Equal rows have one identity; their copies are added up and come from one of them.
+    """
+    copies = mixed.groupBy(identity).agg(F.sum("copies").alias("_mx_copies"), F.count(F.lit(1)).alias("_mx_rows")).where("_mx_copies > 0")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_mx_row"), row_identity(df).alias(identity))
+    rows = attach(rows, materialize(copies, "mix-copies"), identity, F.col(identity), bound)
+    single = rows.where("_mx_rows = 1").select("_mx_row", "_mx_copies")
+    equal = rows.where("_mx_rows > 1").groupBy(identity, "_mx_copies").agg(F.first("_mx_row").alias("_mx_row"))
+    out = single.unionByName(equal.select("_mx_row", "_mx_copies"))
+    return out.select("_mx_row", F.explode(F.sequence(F.lit(1), F.col("_mx_copies").cast("int")))).select("_mx_row.*")
+
+
 def oracle(weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> str:
     """DuckDB SQL of the query, with one window per source instead of cells."""
     unit = f"(CAST(('0x' || substr(md5(CASE WHEN k.source IS NULL THEN 'null' ELSE '=' || k.source END || ':{seed}'), 1, 8)) AS BIGINT) / 4294967296.0)"

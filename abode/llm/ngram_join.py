@@ -26,8 +26,8 @@ ordered last; near copies in bulk meet in hub pairs, one per group and shingle.
 
 Defined results: null and empty texts and texts without words have no shingles, link with
 nothing and are their own component; rows with one doc_id share a component; a null doc_id is
-one more id, smaller than all others, and a component led by it has a null component_id. Extra
-columns of the input pass through ``components``.
+one more id, smaller than all others, and a component led by it has a null component_id; a real doc_id
+of -2**63 counts as that null id. ``components`` returns doc_id, n_shingles and component_id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +35,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abode.llm.arrowtext import by_bytes, utf8
+from abode.llm.arrowtext import by_bytes, released, utf8
 from abode.llm.wordhash import shingle_sets
 from abode.operators.dbscan import connected_components
 from abode.session import materialize
@@ -47,7 +47,7 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 MAX_FREQUENT = 1 << 18   # rows of the table of frequent shingles: 4 MB
 FREQUENT_FROM = 8        # documents that hold a shingle, summed over tasks in which two or more do
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 MERGE_AT = 1 << 20       # distinct shingles a task keeps while it counts
 HUB_ROUNDS = 2
 COMMON = 4               # prefix shingles that a linking pair shares, unless it must share fewer shingles at all
@@ -97,7 +97,7 @@ def frequent_shingles(docs: DataFrame, k: int = SHINGLE_WORDS) -> tuple[np.ndarr
         if kept:
             yield report()
 
-    counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(released(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= FREQUENT_FROM).orderBy(F.col("n").desc(), "token").limit(MAX_FREQUENT).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -139,7 +139,7 @@ def signatures(docs: DataFrame, frequent, k: int = SHINGLE_WORDS, percent: int =
                      pa.array(np.array(pkeys, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                     names=["doc_id", "n", "node", "pkey", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, node long, pkey long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n int, node long, pkey long, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
@@ -153,7 +153,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE_WORDS) -> DataF
                 sets = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(tokens)])
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), sets.cast(pa.binary())], names=["id", "tokens"])
 
-    return docs.select("doc_id", "text").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "id long, tokens binary")
+    return docs.select("doc_id", "text").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(released(run), "id long, tokens binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 keep[r] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([_column(batch, c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "sa", "sb").mapInArrow(released(run), "a long, b long")
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -186,7 +186,7 @@ def _sizes_fit(a: str, b: str, percent: int):
 
 
 def components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """Add ``n_shingles`` and ``component_id`` to documents (doc_id, text, ...)."""
+    """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
     sig = materialize(signatures(rows, frequent_shingles(rows, k), k, percent), "shingle-signatures")
@@ -286,13 +286,13 @@ def one_of_each_group(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PE
     if n_odd:
         ids = F.broadcast(odd) if n_odd <= BROADCAST_IDS else odd
         row = row.join(ids, row["_nj_row.doc_id"].eqNullSafe(ids["_nj_odd"]), "left")
-        row = row.withColumn("_nj_key", F.when(F.col("_nj_is"), F.xxhash64("_nj_key", "text")).otherwise(F.col("_nj_key"))).drop("_nj_odd", "_nj_is")
+        row = row.withColumn("_nj_key", F.when(F.col("_nj_is"), F.xxhash64("_nj_key", "text")).otherwise(F.col("_nj_key"))).drop("_nj_odd")
     groups = components(row.select(F.col("_nj_key").alias("doc_id"), "text"), k, percent)
     leaders = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_nj_key")).distinct()
     stay = row.join(leaders, "_nj_key", "left_semi")
-    if n_odd:
-        first = Window.partitionBy("_nj_key").orderBy(F.xxhash64("_nj_row"))
-        stay = stay.withColumn("_nj_n", F.row_number().over(first)).where("_nj_n = 1")
+    if n_odd:  # of equal rows one stays: added up before the shuffle, whatever their number
+        once = stay.where("_nj_is").groupBy("_nj_key").agg(F.min_by("_nj_row", F.xxhash64("_nj_row")).alias("_nj_row"))
+        stay = stay.where(F.col("_nj_is").isNull()).select("_nj_row").unionByName(once.select("_nj_row"))
     return stay.select("_nj_row.*")
 
 

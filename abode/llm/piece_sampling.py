@@ -31,18 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abode.llm.arrowtext import by_bytes, strings, utf8
+from abode.llm.arrowtext import by_bytes, released, strings, utf8
 from abode.llm.wordhash import BYTE, mix64, powers
 
 POWER = 1.0
 SEED = 11
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 SPACE = 0x20
 BYTE_WEIGHT = 1e-3
 RESCALE_EVERY = 16
-KNOWN_UNITS = 100_000  # filtered units that a worker keeps for later batches
+KNOWN_UNITS = 50_000  # filtered units that a worker keeps for later batches
 SLOT_BITS = 20
-PIECES_AT_ONCE = 1 << 20
+PIECES_AT_ONCE = 1 << 18
 
 
 class Vocabulary:
@@ -253,6 +253,27 @@ class Sampler:
         return ids[order].astype(np.int32), np.searchsorted(where[order], off)
 
 
+class Speller:
+    """Texts that pieces spell."""
+
+    def __init__(self, path: str):
+        spelled = vocabulary(path).spelled
+        self.size = np.array([len(x) for x in spelled])
+        self.begin, self.letters = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(spelled), np.uint8)
+
+    def texts(self, ids: np.ndarray, rows: np.ndarray) -> pa.Array:
+        """Text of each row of pieces (row i holds ids[rows[i]:rows[i + 1]]), without the dummy prefix."""
+        size = self.size[ids]
+        place = np.concatenate([[0], np.cumsum(size)])
+        out = self.letters[np.repeat(self.begin[ids] - place[:-1], size) + np.arange(place[-1])]
+        some = rows[1:] > rows[:-1]
+        out = np.delete(out, place[rows[:-1][some]])
+        text_ends = place[rows] - np.concatenate([[0], np.cumsum(some)])
+        texts = pa.Array.from_buffers(pa.large_string(), len(rows) - 1, [None, pa.py_buffer(text_ends.astype(np.int64)), pa.py_buffer(out)])
+        texts.validate(full=True)
+        return texts
+
+
 def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", power: float = POWER, seed: int = SEED) -> DataFrame:
     """Add ``ids``: the sampled pieces of each text."""
     keep = [f for f in df.schema.fields if f.name != "ids"]
@@ -270,7 +291,7 @@ def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", po
                 found = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:len(names)], found], names=[*names, "ids"])
 
-    return rows.mapInArrow(run, T.StructType([*keep, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(released(run), T.StructType([*keep, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -279,21 +300,34 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     names = [f.name for f in keep]
 
     def run(batches):
-        spelled = vocabulary(path).spelled
-        size = np.array([len(x) for x in spelled])
-        begin, letters = np.cumsum(size) - size, np.frombuffer(b"".join(spelled), np.uint8)
+        speller = Speller(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())])
             for a, b in by_bytes(ends, PIECES_AT_ONCE):
-                flat, rows = column.slice(a, b - a).flatten().to_numpy(), ends[a:b + 1] - ends[a]
-                place = np.concatenate([[0], np.cumsum(size[flat])])
-                out = letters[np.repeat(begin[flat] - place[:-1], size[flat]) + np.arange(place[-1])]
-                some = rows[1:] > rows[:-1]
-                out = np.delete(out, place[rows[:-1][some]])  # the dummy prefix
-                text_ends = place[rows] - np.concatenate([[0], np.cumsum(some)])
-                texts = pa.Array.from_buffers(pa.large_string(), b - a, [None, pa.py_buffer(text_ends.astype(np.int64)), pa.py_buffer(out)])
-                texts.validate(full=True)
+                texts = speller.texts(column.slice(a, b - a).flatten().to_numpy(), ends[a:b + 1] - ends[a])
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).select(names).columns, texts.cast(pa.string())], names=[*names, "decoded"])
 
-    return df.mapInArrow(run, T.StructType([*keep, T.StructField("decoded", T.StringType())]))
+    return df.mapInArrow(released(run), T.StructType([*keep, T.StructField("decoded", T.StringType())]))
+
+
+def encode_and_check(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", power: float = POWER, seed: int = SEED) -> DataFrame:
+    """``encode``, and ``lossless``: whether the pieces decode to the text. One worker a task; the text itself is dropped."""
+    keep = [f for f in df.schema.fields if f.name.lower() not in ("ids", "lossless", text.lower())]
+    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], F.coalesce(F.col(text), F.lit("")).alias("_sp_text"), F.xxhash64(F.col(key)).alias("_sp_key"))
+    n = len(keep)
+
+    def run(batches):
+        sampler, speller = Sampler(path, power, seed), Speller(path)
+        for batch in batches:
+            data, off = utf8(batch.column(n))
+            keys = batch.column(n + 1).to_numpy().view(np.uint64)
+            for a, b in by_bytes(off, BATCH_BYTES):
+                part = off[a:b + 1]
+                ids, ends = sampler.encode(data[part[0]:part[-1]], part - part[0], keys[a:b])
+                own = batch.slice(a, b - a)
+                same = pc.equal(speller.texts(ids, ends), own.column(n).cast(pa.large_string()))
+                found = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*own.columns[:n], found, same], names=[*[f.name for f in keep], "ids", "lossless"])
+
+    return rows.mapInArrow(released(run), T.StructType([*keep, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())]))

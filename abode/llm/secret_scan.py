@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from abode.llm.arrowtext import by_bytes, utf8
+from abode.llm.arrowtext import by_bytes, released, utf8
 
 
 class Rule(NamedTuple):
@@ -336,4 +336,4 @@ def find_secrets(df: DataFrame, text: str = "text", rules=RULES, redact: bool =
                 values = [[{"kind": rules[r].kind, "start": i, "end": j} for i, j, r in spans.get(k, ())] for k in range(b - a)]
                 yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(values, _ARROW)], names=[*names, "secrets"])
 
-    return df.mapInArrow(run, T.StructType([*keep, T.StructField("secrets", SECRETS)]))
+    return df.mapInArrow(released(run), T.StructType([*keep, T.StructField("secrets", SECRETS)]))
