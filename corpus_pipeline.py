@@ -58,16 +58,15 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target size asks."""
-    rows = _wrapped(docs, "doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"))
-    return _unwrapped(mixing.emit(mixing.mix(rows, ties=("_tie",))))
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.row_identity(docs).alias("_mx_id"))
+    return mixing.emit_to(docs, mixing.mix(materialize(sized, "mix-sizes"), ties=("_mx_id",)))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of each document, and whether they decode to its text."""
     path = tokenizer_path("piece_bpe_32k.model")
-    coded = piece_sampling.decode(piece_sampling.encode(docs.select("doc_id", "source", "text"), path), path)
-    return coded.select("doc_id", "source", F.size("ids").alias("n_pieces"), "ids",
-                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    coded = piece_sampling.encode_and_check(docs.select("doc_id", "source", "text"), path)
+    return coded.select("doc_id", "source", F.size("ids").alias("n_pieces"), "ids", "lossless")
 
 
 STAGES = [
