@@ -9,9 +9,9 @@ Our own documented formulas (no p-values):
   distance of level shares (natural log, square root), drift when >= 0.1;
 * dataset verdict: share of drifted columns >= 0.5.
 
-CDFs come from one value-count aggregate over both sides and a range-partitioned running
-sum: no per-column single-task window, so a column with billions of distinct values is
-still spread over all tasks.
+CDFs come from one value-count aggregate over both sides and running sums inside buckets of the values
+(``ordered``), which carry the next value along: one exchange of the counts, no per-column single-task window,
+no join of the values with themselves.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abode.operators.ordered import running_sums
+from abode.operators.ordered import ordered_sums
 from abode.operators.profile import numeric_columns
 from abode.session import materialize
 
@@ -47,17 +47,14 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFr
     """L2 + L4: ``(column_name, n_distinct, wasserstein, ref_std, wasserstein_norm, ks)``."""
     both = _long(ref, cols, "ref", False).unionByName(_long(cur, cols, "cur", False))
     counts = both.groupBy("column_name", "value").agg(
-        F.count_if(F.col("side") == "ref").alias("c_ref"), F.count_if(F.col("side") == "cur").alias("c_cur"),
-        F.lit(1).alias("one"))
+        F.count_if(F.col("side") == "ref").alias("c_ref"), F.count_if(F.col("side") == "cur").alias("c_cur"))
     # Written once: the CDF pass, totals, level shares and the reference std all read it.
     counts = materialize(counts, "drift-counts")
-    cdf = running_sums(counts, ["column_name"], ["value"], {"cum_ref": "c_ref", "cum_cur": "c_cur", "rank": "one"})
+    cdf = ordered_sums(counts, "column_name", "value", {"cum_ref": "c_ref", "cum_cur": "c_cur"})
     tot = counts.groupBy("column_name").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"),
                                             F.count(F.lit(1)).alias("n_distinct"))
-    nxt = cdf.select("column_name", (F.col("rank") - 1).alias("rank"), F.col("value").alias("next_value"))
-    # tot has one row per column: bounded, broadcast. The next-value join is an equi-join
-    # on (column, rank), shuffled like any join of two large tables.
-    j = cdf.join(nxt, ["column_name", "rank"], "left").join(F.broadcast(tot), "column_name")
+    # tot has one row per column: bounded, broadcast
+    j = cdf.join(F.broadcast(tot), "column_name")
     gap = F.abs(F.try_divide("cum_ref", "n_ref") - F.try_divide("cum_cur", "n_cur"))  # null where a side is empty
     stats = j.groupBy("column_name").agg(
         F.sum(gap * (F.col("next_value") - F.col("value"))).alias("wasserstein"), F.max(gap).alias("ks"),

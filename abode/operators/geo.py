@@ -17,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from abode.operators.ordered import exact_quantiles_long
+from abode.operators.ordered import moments_of_counts, quantiles_of_counts, value_counts_long
 
 LAT, LON = "location_latitude", "location_longitude"
 
@@ -79,11 +79,10 @@ def summaries_by_group(df: DataFrame, group: str, cols: Sequence[str]) -> DataFr
     """M4: per group and column: count, mean, exact median, sample std."""
     longdf = df.select(group, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [group], list(cols), "column_name", "value").where(F.col("value").isNotNull() & F.col(group).isNotNull())
-    keyed = longdf.withColumn("_k", F.concat_ws("\u0001", group, "column_name"))
-    moments = keyed.groupBy(group, "column_name", "_k").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    med = exact_quantiles_long(keyed.select("_k", "value"), [0.5], key="_k").select("_k", F.col("quantile").alias("median"))
-    return moments.join(med, "_k", "left").select(group, "column_name", "count", "mean", "median", "std")
+    keyed = longdf.select(F.struct(F.col(group).alias("group"), "column_name").alias("_k"), "value")
+    counts = value_counts_long(keyed, "_k")  # the source is read once
+    out = moments_of_counts(counts, "_k").join(quantiles_of_counts(counts, [0.5], ["median"], "_k"), "_k")
+    return out.select(F.col("_k.group").alias(group), "_k.column_name", "count", "mean", "median", "std")
 
 
 def welch_t(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:

@@ -1,108 +1,33 @@
-"""Order statistics without a single-partition window.
-
-A running total over a global order (CDFs, exact quantiles, exact-size splits) is the one
-computation here that needs rows in order. ``Window.partitionBy(col).orderBy(v)`` would put
-every value of one column in one task, so instead:
-
-1. range-partition by ``(group keys, order keys)`` (a hot group is split across tasks by
-   its order keys, Spark samples the boundaries),
-2. sort inside each range partition and add running sums there (an Arrow-batched pass; a
-   window would need a second exchange),
-3. add the totals of all earlier range partitions, a table of at most
-   ``partitions x groups`` rows that is broadcast.
+"""Order statistics without a single-task window and without Python.
+
+A running total over a global order (CDFs, exact quantiles) needs rows in order.
+``Window.partitionBy(key).orderBy(value)`` would put all values of one key in one task, so
+the values are first dealt to buckets that follow their order:
+
+1. all work is on value counts, one row per distinct (key, value): a hot value is one row;
+2. each key's distinct values are cut by approximate quantiles into buckets of about ``BUCKET_ROWS``
+   values. The cut points steer only the dealing, any are right; they are written once, so
+   that all readers deal alike;
+3. running sums and the next value are windows inside a (key, bucket): one hash exchange of
+   the counts;
+4. a table of one row per (key, bucket), the edges, adds what lies before a bucket and the first
+   value after it. It is joined on the same (key, bucket), without a hint.
+
+Quantiles need only the buckets that hold a wanted rank, so the others are left out before step 3.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from abode.session import materialize
 
-def _local_running_sums(keys: Sequence[str], outs: dict):
-    """Per range partition: inclusive running sums per ``keys`` group over rows that arrive
-    sorted by ``(keys, order)``, carried across Arrow batches. ``outs`` maps output column to
-    input column."""
-    import numpy as np
-    from pyspark import TaskContext
-
-    def fn(batches):
-        pid = TaskContext.get().partitionId()
-        last_key, carry = None, {o: 0 for o in outs}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            n = len(pdf)
-            if keys:
-                # rows are sorted by the keys, so groups are contiguous runs
-                grp = pdf.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy()
-                ends = pdf[list(keys)].iloc[[0, n - 1]].astype(object)
-                ends = ends.where(ends.notna(), None)
-                first_key, end_key = (tuple(r) for r in ends.itertuples(index=False, name=None))
-            else:
-                grp, first_key, end_key = np.ones(n, dtype=np.int64), (), ()
-            cont = first_key == last_key
-            for o, v in outs.items():
-                col = pdf[v].fillna(0)
-                cs = col.groupby(grp, sort=False).cumsum()
-                if cont:
-                    cs = cs + np.where(grp == grp[0], carry[o], 0)
-                pdf[f"_local_{o}"] = cs.values
-                carry[o] = cs.iloc[-1]
-            last_key = end_key
-            pdf["_pid"] = np.int32(pid)
-            yield pdf
-    return fn
-
-
-def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict,
-                 partitions: int | None = None) -> DataFrame:
-    """Inclusive running sums ``{out: value}`` per ``keys`` group in ``order``.
-
-    Rows that tie on every order key get distinct positions in an unspecified order, so
-    callers pre-aggregate to unique ``(keys, order)`` first when ties matter.
-
-    One exchange: a range exchange on ``(keys, order)``. Without an explicit ``partitions``
-    it starts from the session's shuffle partition number (with AQE, ``initialPartitionNum``)
-    and AQE coalesces neighbouring ranges to the advisory size, so partition sizes follow
-    the data; coalesced partitions are contiguous ranges, so partition ids keep the order.
-    Inside each partition a local sort and an Arrow-batched pass add the running sums (a
-    window would need a second, hash exchange on ``(partition, keys)``).
-
-    The range bounds come from sampling rows whose order after a shuffle is not fixed, so
-    two evaluations of the range exchange may cut differently. The local sums are therefore
-    written once to the shared checkpoint folder; the per-partition totals, offsets and the
-    final join all read those files, so the result never depends on exchange reuse.
-    """
-    from pyspark.sql import types as T
-
-    from abode.session import materialize
-
-    cols = [F.col(c) for c in list(keys) + list(order)]
-    ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
-    ranged = ranged.sortWithinPartitions(*cols)
-    fields = list(df.schema.fields)
-    for o, v in values.items():
-        integral = isinstance(df.schema[v].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-        fields.append(T.StructField(f"_local_{o}", T.LongType() if integral else T.DoubleType()))
-    fields.append(T.StructField("_pid", T.IntegerType()))
-    local = ranged.mapInPandas(_local_running_sums(list(keys), dict(values)), T.StructType(fields))
-    local = materialize(local, "running-sums")
-    totals = local.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_tot_{o}") for o, v in values.items()])
-    w_off = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *keys, *[F.coalesce(F.sum(f"_tot_{o}").over(w_off), F.lit(0)).alias(f"_off_{o}")
-                                             for o in values])
-    # offsets has at most partitions x groups rows: a proven bound, so it is broadcast.
-    joined = local.join(F.broadcast(offsets), on=["_pid", *keys], how="inner")
-    joined = joined.withColumns({o: F.col(f"_off_{o}") + F.col(f"_local_{o}") for o in values})
-    return joined.drop("_pid", *[f"_local_{o}" for o in values], *[f"_off_{o}" for o in values])
-
-
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-                partitions: int | None = None) -> DataFrame:
-    """Inclusive running sum of one column (see :func:`running_sums`)."""
-    return running_sums(df, keys, order, {out: value}, partitions)
+BUCKET_ROWS = 1 << 16   # distinct values of a bucket, about
+MAX_BUCKETS = 4096      # of a key
+STRIDE = 64             # cut points are searched in strides, then inside one
 
 
 def long_numeric(df: DataFrame, cols: Sequence[str], drop_null: bool = True) -> DataFrame:
@@ -113,55 +38,110 @@ def long_numeric(df: DataFrame, cols: Sequence[str], drop_null: bool = True) ->
     return longdf.where(F.col("value").isNotNull()) if drop_null else longdf
 
 
-def value_cdf(longdf: DataFrame, key: str = "column_name", value: str = "value", weight: str | None = None) -> DataFrame:
-    """Per ``key``: distinct values with count ``cnt``, inclusive cumulative ``cum`` and ``cum_prev``.
+def value_counts_long(longdf: DataFrame, key: str = "column_name", value: str = "value") -> DataFrame:
+    """``(key, value, cnt)``, written once: every statistic of the values reads it."""
+    return materialize(longdf.groupBy(key, value).agg(F.count(F.lit(1)).alias("cnt")), "value-counts")
+
+
+def bucketed(counts: DataFrame, key: str, value: str, bucket_rows: int | None = None) -> DataFrame:
+    """Add ``_bucket``: the number of the key's cut points below the value. ``counts`` is read twice: pass a written table."""
+    rows = bucket_rows or BUCKET_ROWS
+    most = counts.groupBy(key).count().agg(F.max("count")).first()[0] or 0  # one number
+    n = min(MAX_BUCKETS, -(-most // rows))
+    if n <= 1:
+        return counts.withColumn("_bucket", F.lit(0))
+    probs = [i / n for i in range(1, n)]
+    cuts = materialize(counts.groupBy(key).agg(F.percentile_approx(value, probs, 10 * n).alias("_cuts")), "value-cuts")
+    held = counts.join(cuts.withColumnRenamed(key, "_cut_key"), F.col(key).eqNullSafe(F.col("_cut_key")))
+
+    def below(cut_points):
+        return F.size(F.filter(cut_points, lambda c: c < F.col(value)))
+
+    heads = F.transform(F.sequence(F.lit(STRIDE), F.greatest(F.size("_cuts"), F.lit(STRIDE)), F.lit(STRIDE)), lambda i: F.get("_cuts", i - 1))
+    stride = below(heads) * STRIDE
+    return held.withColumn("_bucket", stride + below(F.slice("_cuts", stride + 1, F.lit(STRIDE)))).select(*counts.columns, "_bucket")
 
-    The running sum underneath is written once to the shared checkpoint folder, so every
-    later use (row counts, rank lookups) reads files.
-    """
-    w = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = longdf.groupBy(key, value).agg(w.cast("long").alias("cnt"))
-    cdf = running_sum(counts, [key], [value], "cnt", "cum").withColumn("cum_prev", F.col("cum") - F.col("cnt"))
-    return cdf
 
+def edges(dealt: DataFrame, key: str, value: str, sums: dict) -> DataFrame:
+    """One row per (key, bucket): ``_before_<out>`` of each sum, ``_in_<out>`` inside it and ``_after``, the first value beyond it."""
+    table = dealt.groupBy(key, "_bucket").agg(*[F.sum(c).alias(f"_in_{o}") for o, c in sums.items()], F.min(value).alias("_low"))
+    order = Window.partitionBy(key).orderBy("_bucket")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    return table.select(key, "_bucket", *[F.col(f"_in_{o}") for o in sums], F.lead("_low").over(order).alias("_after"),
+                        *[F.coalesce(F.sum(f"_in_{o}").over(before), F.lit(0)).alias(f"_before_{o}") for o in sums])
 
-def exact_quantiles_long(longdf: DataFrame, probs: Sequence[float], key: str = "column_name",
-                         value: str = "value") -> DataFrame:
-    """Exact interpolated quantiles per ``key`` of a long ``(key, value)`` frame.
 
-    Returns ``(key, prob, quantile)``. Work: one value-count aggregate, one range-partitioned
-    running sum, one broadcast range lookup of ``keys x probs x 2`` target ranks.
+def _with_edges(dealt: DataFrame, border: DataFrame, key: str) -> DataFrame:
+    border = border.withColumnsRenamed({key: "_edge_key", "_bucket": "_edge_bucket"})
+    return dealt.join(border, F.col(key).eqNullSafe(F.col("_edge_key")) & (F.col("_bucket") == F.col("_edge_bucket")))
+
+
+def ordered_sums(counts: DataFrame, key: str, value: str, sums: dict, bucket_rows: int | None = None) -> DataFrame:
+    """Add the inclusive running sums ``{out: column}`` in order of ``value`` per ``key``, and ``next_value``.
+
+    ``counts`` has one row per (key, value) and is read more than once: pass a written table.
     """
-    cdf = value_cdf(longdf, key, value)
-    n = cdf.groupBy(key).agg(F.max("cum").alias("n"))
-    targets = (n.select(key, "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-               .withColumn("pos", F.col("prob") * (F.col("n") - 1))
-               .withColumn("r_lo", F.floor("pos").cast("long"))
-               .withColumn("r_hi", F.ceil("pos").cast("long")))
-    ranks = targets.select(F.col(key).alias("_key"), "prob", "pos", F.explode(F.array(
-        F.struct(F.lit("lo").alias("side"), F.col("r_lo").alias("r")),
-        F.struct(F.lit("hi").alias("side"), F.col("r_hi").alias("r")))).alias("t")).select(
-        "_key", "prob", "pos", "t.side", "t.r")
-    # ranks has keys x probs x 2 rows; keys are columns or report groups (bounded): broadcast.
-    hit = cdf.join(F.broadcast(ranks), (F.col(key) == F.col("_key")) & (F.col("cum_prev") <= F.col("r"))
-                   & (F.col("r") < F.col("cum"))).select(key, "prob", "pos", "side", value)
-    piv = hit.groupBy(key, "prob", "pos").agg(
-        F.max(F.when(F.col("side") == "lo", F.col(value))).alias("v_lo"),
-        F.max(F.when(F.col("side") == "hi", F.col(value))).alias("v_hi"))
-    frac = F.col("pos") - F.floor("pos")
-    return piv.select(key, "prob", (F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
+    dealt = bucketed(counts, key, value, bucket_rows)
+    rows = _with_edges(dealt, edges(dealt, key, value, sums), key)
+    inside = Window.partitionBy(key, "_bucket").orderBy(value)
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({**{f"_cum_{o}": F.sum(c).over(running) for o, c in sums.items()}, "_next": F.lead(value).over(inside)})
+    return rows.select(*counts.columns, F.coalesce("_next", "_after").alias("next_value"),
+                       *[(F.col(f"_before_{o}") + F.col(f"_cum_{o}")).alias(o) for o in sums])
+
+
+def _ranks(p: float, n):
+    """(position, lower rank, upper rank) of a quantile among ``n`` rows, interpolated linearly."""
+    position = F.lit(float(p)) * (n - 1)
+    return position, F.floor(position).cast("long"), F.ceil(position).cast("long")
+
+
+def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], names: Sequence[str], key: str = "column_name", value: str = "value",
+                        bucket_rows: int | None = None) -> DataFrame:
+    """Exact interpolated quantiles (``percentile``/``quantile_cont``) of written ``(key, value, cnt)``: one row per key, a column per quantile."""
+    start, end = F.col("_before_cum"), F.col("_before_cum") + F.col("_in_cum")
+    n = F.sum("_in_cum").over(Window.partitionBy(key))
+    wanted = F.lit(False)
+    for p in probs:
+        _, lo, hi = _ranks(p, F.col("_all"))
+        wanted = wanted | ((start <= lo) & (lo < end)) | ((start <= hi) & (hi < end))
+
+    dealt = bucketed(counts, key, value, bucket_rows)
+    border = edges(dealt, key, value, {"cum": "cnt"}).withColumn("_all", n).where(wanted)
+    rows = _with_edges(dealt, border, key)
+    running = Window.partitionBy(key, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("_before_cum") + F.sum("cnt").over(running)
+    rows = rows.select(key, value, "_all", "cnt", upto.alias("_upto"))
+    first = F.col("_upto") - F.col("cnt")
+    found = []
+    for p, name in zip(probs, names):
+        _, lo, hi = _ranks(p, F.col("_all"))
+        found += [F.max(F.when((first <= r) & (r < F.col("_upto")), F.col(value))).alias(f"_{side}_{name}") for side, r in (("lo", lo), ("hi", hi))]
+    found = rows.groupBy(key).agg(F.max("_all").alias("_n"), *found)
+    out = []
+    for p, name in zip(probs, names):
+        position, _, _ = _ranks(p, F.col("_n"))
+        share = position - F.floor(position)
+        out.append((F.col(f"_lo_{name}") + share * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name))
+    return found.select(key, *out)
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles (``percentile``/``quantile_cont``) per column:
-    ``(column_name, prob, quantile)``."""
-    return exact_quantiles_long(long_numeric(df, cols), probs)
+    """Exact linear-interpolation quantiles per column: ``(column_name, prob, quantile)``."""
+    names = [f"q{i}" for i in range(len(probs))]
+    wide = quantiles_of_counts(value_counts_long(long_numeric(df, cols)), probs, names)
+    each = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.col(q).alias("quantile")) for p, q in zip(probs, names)]))
+    return wide.select("column_name", each.alias("s")).select("column_name", "s.*")
 
 
-def quantile_columns(q: DataFrame, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Pivot ``(column, prob, quantile)`` to one row per column with named quantile columns."""
-    aggs = [F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(nm) for p, nm in zip(probs, names)]
-    return q.groupBy("column_name").agg(*aggs)
+def moments_of_counts(counts: DataFrame, key: str = "column_name", value: str = "value") -> DataFrame:
+    """count, mean, std (n-1), min and max per key of written ``(key, value, cnt)``; the deviations are taken from the mean in a second aggregate."""
+    v, c = F.col(value), F.col("cnt")
+    first = counts.groupBy(key).agg(F.sum(c).alias("count"), (F.sum(c * v) / F.sum(c)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    means = first.select(F.col(key).alias("_mean_key"), F.col("mean").alias("_mean"))
+    spread = (counts.join(means, F.col(key).eqNullSafe(F.col("_mean_key"))).groupBy("_mean_key")
+              .agg(F.when(F.sum(c) > 1, F.sqrt(F.sum(c * (v - F.col("_mean")) * (v - F.col("_mean"))) / (F.sum(c) - 1))).alias("std")))
+    return first.join(spread, F.col(key).eqNullSafe(F.col("_mean_key")), "left").select(key, "count", "mean", "std", "min", "max")
 
 
 def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], names: Sequence[str],
@@ -171,5 +151,3 @@ def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     pa = F.percentile_approx("value", [float(p) for p in probs], accuracy)
     out = longdf.groupBy("column_name").agg(pa.alias("_q"))
     return out.select("column_name", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
-
-

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abode.operators.ordered import exact_quantiles, approx_quantiles, long_numeric, quantile_columns
+from abode.operators.ordered import approx_quantiles, long_numeric, moments_of_counts, quantiles_of_counts, value_counts_long
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGRAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -47,19 +47,19 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: b
                      accuracy: int = 10000) -> DataFrame:
     """Count, mean, std (n-1), min, 25/50/75 %, max per numeric column.
 
-    ``approx=False`` gives exact interpolated quantiles through a range-partitioned CDF;
-    ``approx=True`` a one-pass mergeable sketch (``percentile_approx``).
+    ``approx=False`` gives exact interpolated quantiles: the source is read once, into value counts,
+    and all statistics come from those; ``approx=True`` a one-pass mergeable sketch (``percentile_approx``).
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    longdf = long_numeric(df, cols)
-    moments = longdf.groupBy("column_name").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
     probs, names = [0.25, 0.5, 0.75], ["p25", "p50", "p75"]
     if approx:
+        moments = long_numeric(df, cols).groupBy("column_name").agg(
+            F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"), F.max("value").alias("max"))
         q = approx_quantiles(df, cols, probs, names, accuracy)
     else:
-        q = quantile_columns(exact_quantiles(df, cols, probs), probs, names)
+        counts = value_counts_long(long_numeric(df, cols))
+        moments, q = moments_of_counts(counts), quantiles_of_counts(counts, probs, names)
     # all sides have one row per column: bounded broadcasts. A column without values has count 0.
     return _columns(df, cols).join(F.broadcast(moments), "column_name", "left").join(F.broadcast(q), "column_name", "left").select(
         "column_name", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max")
@@ -137,18 +137,18 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30)
 def box_stats(df: DataFrame, cols: Sequence[str] | None = None, whisker: float = 1.5) -> DataFrame:
     """Quartiles, IQR whiskers (most extreme values within 1.5 IQR) and outlier count."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    longdf = long_numeric(df, cols)
-    q = quantile_columns(exact_quantiles(df, cols, [0.25, 0.5, 0.75]), [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    counts = value_counts_long(long_numeric(df, cols))  # the source is read once
+    q = quantiles_of_counts(counts, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_f = F.col("q1") - whisker * F.col("iqr")
     hi_f = F.col("q3") + whisker * F.col("iqr")
-    j = longdf.join(F.broadcast(q), "column_name")
+    j = counts.join(F.broadcast(q), "column_name")  # one row per column
     v = F.col("value")
     return j.groupBy("column_name").agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.first("iqr").alias("iqr"),
         F.min(F.when(v >= lo_f, v)).alias("whisker_lo"), F.max(F.when(v <= hi_f, v)).alias("whisker_hi"),
-        F.count(F.when((v < lo_f) | (v > hi_f), 1)).alias("n_outliers"))
+        F.coalesce(F.sum(F.when((v < lo_f) | (v > hi_f), F.col("cnt"))), F.lit(0)).alias("n_outliers"))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

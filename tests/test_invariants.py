@@ -121,15 +121,13 @@ def test_gate_and_names(spark):
 
 
 def test_exact_quantiles_match_numpy(spark):
-    from abode.operators.ordered import exact_quantiles, running_sum
+    from abode.operators.ordered import exact_quantiles
     li = spark.read.parquet(f"{SF0001}/lineitem.parquet")
     q = {(r["column_name"], r["prob"]): r["quantile"] for r in exact_quantiles(li, ["l_quantity", "l_extendedprice"], [0.1, 0.5, 0.9]).collect()}
     pdf = li.select("l_quantity", "l_extendedprice").toPandas()
     for c in ("l_quantity", "l_extendedprice"):
         for p in (0.1, 0.5, 0.9):
             assert math.isclose(q[(c, p)], float(np.percentile(pdf[c], p * 100)), rel_tol=1e-12)
-    rs = running_sum(spark.range(1000).withColumn("g", F.col("id") % 3).withColumn("one", F.lit(1)), ["g"], ["id"], "one", "r")
-    assert rs.where(F.col("r") != F.floor(F.col("id") / 3) + 1).count() == 0
 
 
 def test_drift_zero_on_identical_and_categorical_rule(spark):
@@ -142,46 +140,6 @@ def test_drift_zero_on_identical_and_categorical_rule(spark):
     assert {r["column_name"]: r["drift"] for r in drift_report(df, shifted).collect()}["x"] is True
 
 
-def test_running_sum_consistent_without_exchange_reuse(spark):
-    """Range bounds are sampled from shuffled rows; the result must not depend on AQE reusing the exchange."""
-    from abode.operators.ordered import running_sums
-    prev = spark.conf.get("spark.sql.exchange.reuse")
-    spark.conf.set("spark.sql.exchange.reuse", "false")
-    try:
-        base = spark.range(20000).select((F.col("id") % 7).alias("g"), (F.col("id") * 7919 % 10007).alias("v"))
-        counts = base.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))   # output order of a shuffle
-        rs = running_sums(counts, ["g"], ["v"], {"cum": "c"}).toPandas().sort_values(["g", "v"])
-        want = rs.groupby("g")["c"].cumsum()
-        assert (rs["cum"].values == want.values).all()
-    finally:
-        spark.conf.set("spark.sql.exchange.reuse", prev)
-
-
-@pytest.mark.parametrize("keys", [["g"], []])
-def test_running_sums_across_batches_hot_group_and_null_key(spark, keys):
-    """Local sums carry across Arrow batches and range partitions; a hot group spans many of both."""
-    from abode.operators.ordered import running_sums
-    prev = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        base = spark.range(3000).select(
-            F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 10 < 7, F.lit("hot"))
-             .otherwise(F.concat(F.lit("g"), (F.col("id") % 3).cast("string"))).alias("g"),
-            (F.col("id") * 7919 % 10007).alias("v"), (F.col("id") % 5).alias("c"), (F.col("id") % 3 * 0.5).alias("d"))
-        rs = running_sums(base, keys, ["v"], {"cum": "c", "cumd": "d"}, partitions=6).toPandas()
-        rs["g"] = rs["g"].fillna("<null>")
-        grp = ["g"] if keys else []
-        rs = rs.sort_values(grp + ["v"])
-        if grp:
-            want_c, want_d = rs.groupby("g")["c"].cumsum(), rs.groupby("g")["d"].cumsum()
-        else:
-            want_c, want_d = rs["c"].cumsum(), rs["d"].cumsum()
-        assert (rs["cum"].values == want_c.values).all()
-        assert np.allclose(rs["cumd"].values, want_d.values)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
-
-
 def test_scale_settings_size_partitions_from_input():
     from abode.session import PARTITION_BYTES, scale_settings
     big = scale_settings(100 * 1024 ** 4, 8000)

@@ -48,21 +48,22 @@ def test_split_partition_pruning(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in plan
 
 
-def test_running_sum_uses_range_partitioning(spark, monkeypatch):
-    # The range-partitioned pass is written once to the checkpoint folder; its plan (not the
-    # final one, which reads the written files) must hold the range exchange and no
-    # single-partition window.
-    import abode.session as S
-    from abode.operators.ordered import running_sum
+@pytest.mark.parametrize("name", ["e06_describe_numeric", "e11_box_stats", "l03_drift_report_lineitem", "m04_summaries_by_city_class"])
+def test_order_statistics_read_their_source_once_without_python(spark, monkeypatch, name):
+    # value counts are written; neither their plan nor any later one, written or not, holds Python or a range exchange
+    import abode.operators.drift as D
+    import abode.operators.ordered as O
     seen = []
-    real = S.materialize
-
-    def spy(df, name, partition_by=None):
-        seen.append(_plan(df))
-        return real(df, name, partition_by)
-
-    monkeypatch.setattr(S, "materialize", spy)
-    rs = running_sum(spark.range(100).withColumn("one", F.lit(1)), [], ["id"], "one", "r")
-    assert [r.r for r in rs.orderBy("id").collect()] == list(range(1, 101))
-    assert seen and "rangepartitioning" in seen[0].lower()
-    assert "singlepartition" not in seen[0].lower()
+    real = O.materialize
+
+    def spy(df, label, partition_by=None):
+        seen.append((label, _plan(df)))
+        return real(df, label, partition_by)
+
+    monkeypatch.setattr(O, "materialize", spy)
+    monkeypatch.setattr(D, "materialize", spy)
+    last = _plan(QUERIES[name](spark, SF0001))
+    plans = [p for _, p in seen] + [last]
+    assert seen and not any(n in p for n in (*PYTHON_NODES, "rangepartitioning", "SinglePartition, REPARTITION") for p in plans)
+    reads = [p for p in plans if "lineitem.parquet" in p or "orders.parquet" in p]
+    assert len(reads) <= (1 if name.startswith("e") else 2)  # the drift report also reads the level columns
