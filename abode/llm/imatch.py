@@ -4,8 +4,10 @@ r"""Document fingerprints (operator 6): I-Match over randomised lexicon subsets.
 whose inverse document frequency ``ln(documents / count)`` lies in ``IDF_BAND``; its least
 count bounds its size by ``exp(IDF_BAND[1]) * distinct words per document``, whatever the
 corpus size, and it is sent to the tasks as sorted 64-bit word hashes (``MAX_LEXICON``: an
-error above). ``SUBSETS`` random subsets of the lexicon each hold one word in ``KEEP_ONE_IN``,
-by hash, and besides every word belongs to one of them by another hash, so the subsets cover the lexicon. A document's fingerprint lists, for each subset, the hash of the document's sorted
+error above). ``SUBSETS`` random subsets of the lexicon hold, in turn, one word in each of the numbers
+``ONE_IN``, by hash, so that for short and long documents alike some hold about one of their words: those
+survive an edit elsewhere. Besides, every word belongs to one of the largest subsets by another hash, so the subsets cover
+the lexicon. A document's fingerprint lists, for each subset, the hash of the document's sorted
 distinct words in it, or ``-`` if it has none. The likeness of two fingerprints is the share of equal
 entries among the subsets in which either has words.
 
@@ -41,8 +43,9 @@ from abode.llm.wordhash import distinct, mix64, words
 from abode.session import scratch_path
 
 IDF_BAND = (1.0, 7.0)
-SUBSETS = 32
-KEEP_ONE_IN = 64
+ONE_IN = (8, 16, 32, 64, 128, 256, 512, 1024)  # subset j holds one word in ONE_IN[j % 8]
+SUBSETS = 12 * len(ONE_IN)
+DIGITS = 4  # hex digits of an entry
 MAX_LEXICON = 1 << 23
 BLOCK_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
@@ -96,7 +99,7 @@ def lexicon(docs: DataFrame, n_docs: int, band=IDF_BAND) -> np.ndarray:
     return np.sort(rows["term"].to_numpy(np.int64).view(np.uint64))
 
 
-def fingerprints(data: np.ndarray, off: np.ndarray, lex: np.ndarray, subsets: int = SUBSETS, one_in: int = KEEP_ONE_IN) -> list[str]:
+def fingerprints(data: np.ndarray, off: np.ndarray, lex: np.ndarray, subsets: int = SUBSETS, one_in: tuple = ONE_IN) -> list[str]:
     """Fingerprint of each row's text."""
     terms, rows = _terms(data, off)
     if len(lex):
@@ -106,12 +109,13 @@ def fingerprints(data: np.ndarray, off: np.ndarray, lex: np.ndarray, subsets: in
     rows = np.concatenate([[0], np.cumsum(held)])[rows]
     terms = terms[held]
     parts = []
-    home = mix64(terms ^ mix64(np.array([subsets + 1], np.uint64))) % np.uint64(subsets)
+    largest = subsets // len(one_in)
+    home = (mix64(terms ^ mix64(np.array([subsets + 1], np.uint64))) % np.uint64(largest)) * np.uint64(len(one_in))
     for j in range(subsets):
-        keep = (mix64(terms ^ mix64(np.array([j + 1], np.uint64))) % np.uint64(one_in) == 0) | (home == j)
+        keep = (mix64(terms ^ mix64(np.array([j + 1], np.uint64))) % np.uint64(one_in[j % len(one_in)]) == 0) | (home == j)
         cut = np.concatenate([[0], np.cumsum(keep)])[rows].tolist()
         kept = terms[keep].tobytes()
-        parts.append([xxhash.xxh32_hexdigest(kept[8 * a:8 * b]) if b > a else "-" for a, b in zip(cut[:-1], cut[1:])])
+        parts.append([xxhash.xxh32_hexdigest(kept[8 * a:8 * b])[:DIGITS] if b > a else "-" for a, b in zip(cut[:-1], cut[1:])])
     out = []
     for r, entries in enumerate(zip(*parts)):
         if any(e != "-" for e in entries):

@@ -19,7 +19,7 @@ prefix sums (at most ``classes * BUCKETS`` rows a source, whatever the corpus si
 Defined results: a null source is one source and comes last; null and empty texts have size
 0, never add to what is taken; a source without words has target 0 and no copies; repeated
 rows are separate documents of equal size; other columns pass through and the output columns
-replace columns of the same name.
+replace columns of the same name, in any case. Keys are integers.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from abode.llm.columns import carried, kept, restored
 from abode.llm.joins import BROADCAST_ROWS, attach
 from abode.operators.split import hash_uniform
 from abode.session import materialize
@@ -70,10 +71,12 @@ def mix(df: DataFrame, size: str = "size", key: str = "doc_id", source: str = "s
 
     Rows with equal size and key are ordered by the columns ``ties``.
     """
-    keep = [c for c in df.columns if c not in ("source_size", "target", "copies")]
-    rows = df.select(*keep, F.col(size).cast("long").alias("_mx_size"), F.col(source).isNull().alias("_mx_none"),
-                     F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_mx_source"),
-                     F.coalesce(F.pmod(F.col(key), F.lit(BUCKETS)), F.lit(-1)).cast("long").alias("_mx_bucket"))
+    columns = kept(df, ("source_size", "target", "copies"))
+    rows = carried(df, columns, _mx_size=F.col(f"`{size}`").cast("long"), _mx_none=F.col(f"`{source}`").isNull(), _mx_key=F.col(f"`{key}`"),
+                   _mx_source=F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")),
+                   _mx_bucket=F.coalesce(F.pmod(F.col(f"`{key}`"), F.lit(BUCKETS)), F.lit(-1)).cast("long"),
+                   **{f"_mx_tie{i}": F.col(f"`{c}`") for i, c in enumerate(ties)})
+    ties = [f"_mx_tie{i}" for i in range(len(ties))]
     rows = rows.withColumn("_mx_class", size_class(F.col("_mx_size")).cast("long"))
     cell = ["_mx_none", "_mx_source", "_mx_class", "_mx_bucket"]
     cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_mx_n"), F.sum("_mx_size").alias("_mx_sum"))
@@ -87,20 +90,21 @@ def mix(df: DataFrame, size: str = "size", key: str = "doc_id", source: str = "s
     classes = classes.withColumn("_mx_c0", F.coalesce(F.sum("_mx_cn").over(w_class), F.lit(0))).drop("_mx_cn")
     cells = cells.withColumn("_mx_b0", F.coalesce(F.sum("_mx_n").over(w_bucket), F.lit(0))).drop("_mx_n", "_mx_sum")
     cells = cells.join(classes.join(targets, ["_mx_none", "_mx_source"]), ["_mx_none", "_mx_source", "_mx_class"])
-    ranked = rows.withColumn("_mx_k", F.row_number().over(Window.partitionBy(*cell).orderBy("_mx_size", key, *ties)))
+    ranked = rows.withColumn("_mx_k", F.row_number().over(Window.partitionBy(*cell).orderBy("_mx_size", "_mx_key", *ties)))
     out = ranked.join(cells, cell)
     rate = F.col("target") / F.col("source_size")
     end = F.col("_mx_c0") + F.col("_mx_b0") + F.col("_mx_k")
     offset = hash_uniform(F.when(F.col("_mx_none"), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("_mx_source"))), seed)
     copies = F.floor(end * rate + offset) - F.floor((end - 1) * rate + offset)
-    return out.select(*keep, "source_size", "target",
-                      F.when(F.col("source_size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies"))
+    copies = F.when(F.col("source_size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies")
+    return restored(out, columns, F.col("source_size"), F.col("target"), copies)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """One row per copy; the columns that ``mix`` added are dropped."""
-    rows = mixed.where("copies > 0").withColumn("_mx_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.drop("_mx_copy", "source_size", "target", "copies")
+    columns = kept(mixed, ("source_size", "target", "copies"))
+    rows = carried(mixed.where("copies > 0"), columns, _mx_copy=F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return restored(rows, columns)
 
 
 def row_identity(df: DataFrame) -> Column:

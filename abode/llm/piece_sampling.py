@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from abode.llm.arrowtext import by_bytes, released, strings, utf8
+from abode.llm.columns import ROW, carried, kept, restored
 from abode.llm.wordhash import BYTE, mix64, powers
 
 POWER = 1.0
@@ -276,58 +277,59 @@ class Speller:
 
 def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", power: float = POWER, seed: int = SEED) -> DataFrame:
     """Add ``ids``: the sampled pieces of each text."""
-    keep = [f for f in df.schema.fields if f.name != "ids"]
-    names = [f.name for f in keep]
-    rows = df.select(*names, F.xxhash64(F.col(key)).alias("_sp_key"))
+    columns = kept(df, ("ids",))
+    rows = carried(df, columns, text=F.col(f"`{text}`"), key=F.xxhash64(F.col(f"`{key}`")))
 
     def run(batches):
         sampler = Sampler(path, power, seed)
         for batch in batches:
-            data, off = utf8(batch.column(batch.schema.get_field_index(text)))
-            keys = batch.column(len(names)).to_numpy().view(np.uint64)
+            data, off = utf8(batch.column(1))
+            keys = batch.column(2).to_numpy().view(np.uint64)
             for a, b in by_bytes(off, BATCH_BYTES):
                 part = off[a:b + 1]
-                ids, rows = sampler.encode(data[part[0]:part[-1]], part - part[0], keys[a:b])
-                found = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:len(names)], found], names=[*names, "ids"])
+                ids, ends = sampler.encode(data[part[0]:part[-1]], part - part[0], keys[a:b])
+                found = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), found], names=[ROW, "ids"])
 
-    return rows.mapInArrow(released(run), T.StructType([*keep, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    coded = rows.mapInArrow(released(run), T.StructType([rows.schema[ROW], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return restored(coded, columns, F.col("ids"))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Add ``decoded``: the text that the pieces spell, without the dummy prefix; null ids decode to the empty text."""
-    keep = [f for f in df.schema.fields if f.name != "decoded"]
-    names = [f.name for f in keep]
+    columns = kept(df, ("decoded",))
+    rows = carried(df, columns, ids=F.col(f"`{ids}`"))
 
     def run(batches):
         speller = Speller(path)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
+            column = batch.column(1)
             ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())])
             for a, b in by_bytes(ends, PIECES_AT_ONCE):
                 texts = speller.texts(column.slice(a, b - a).flatten().to_numpy(), ends[a:b + 1] - ends[a])
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).select(names).columns, texts.cast(pa.string())], names=[*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), texts.cast(pa.string())], names=[ROW, "decoded"])
 
-    return df.mapInArrow(released(run), T.StructType([*keep, T.StructField("decoded", T.StringType())]))
+    out = rows.mapInArrow(released(run), T.StructType([rows.schema[ROW], T.StructField("decoded", T.StringType())]))
+    return restored(out, columns, F.col("decoded"))
 
 
 def encode_and_check(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", power: float = POWER, seed: int = SEED) -> DataFrame:
     """``encode``, and ``lossless``: whether the pieces decode to the text. One worker a task; the text itself is dropped."""
-    keep = [f for f in df.schema.fields if f.name.lower() not in ("ids", "lossless", text.lower())]
-    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], F.coalesce(F.col(text), F.lit("")).alias("_sp_text"), F.xxhash64(F.col(key)).alias("_sp_key"))
-    n = len(keep)
+    columns = kept(df, ("ids", "lossless", text))
+    rows = carried(df, columns, text=F.coalesce(F.col(f"`{text}`"), F.lit("")), key=F.xxhash64(F.col(f"`{key}`")))
 
     def run(batches):
         sampler, speller = Sampler(path, power, seed), Speller(path)
         for batch in batches:
-            data, off = utf8(batch.column(n))
-            keys = batch.column(n + 1).to_numpy().view(np.uint64)
+            data, off = utf8(batch.column(1))
+            keys = batch.column(2).to_numpy().view(np.uint64)
             for a, b in by_bytes(off, BATCH_BYTES):
                 part = off[a:b + 1]
                 ids, ends = sampler.encode(data[part[0]:part[-1]], part - part[0], keys[a:b])
-                own = batch.slice(a, b - a)
-                same = pc.equal(speller.texts(ids, ends), own.column(n).cast(pa.large_string()))
+                same = pc.equal(speller.texts(ids, ends), batch.column(1).slice(a, b - a).cast(pa.large_string()))
                 found = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*own.columns[:n], found, same], names=[*[f.name for f in keep], "ids", "lossless"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), found, same], names=[ROW, "ids", "lossless"])
 
-    return rows.mapInArrow(released(run), T.StructType([*keep, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())]))
+    coded = rows.mapInArrow(released(run), T.StructType([
+        rows.schema[ROW], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())]))
+    return restored(coded, columns, F.col("ids"), F.col("lossless"))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from abode.llm.arrowtext import by_bytes, utf8
+from abode.llm.columns import ROW, carried, kept, restored
 from abode.llm.wordhash import mix64, runs
 
 BUCKET_BITS = 14
@@ -163,21 +164,24 @@ def _sigmoid(x):
 
 def with_column(docs: DataFrame, name: str, kind, values, text: str = "text") -> DataFrame:
     """Rows of ``docs`` with one more column, computed from byte parts of the text by ``values``."""
-    keep = [f for f in docs.schema.fields if f.name != name]
-    names = [f.name for f in keep]
+    columns = kept(docs, (name,))
+    rows = carried(docs, columns, _qm_text=F.col(f"`{text}`"))
 
     def run(batches):
         for batch in batches:
-            for a, b, data, off in _texts(batch, text):
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).select(names).columns, values(data, off)], names=[*names, name])
+            for a, b, data, off in _texts(batch, "_qm_text"):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), values(data, off)], names=[ROW, "value"])
 
-    return docs.mapInArrow(run, T.StructType([*keep, T.StructField(name, kind)]))
+    out = rows.mapInArrow(run, T.StructType([rows.schema[ROW], T.StructField("value", kind)]))
+    return restored(out, columns, F.col("value").alias(name))
 
 
 def fit(docs: DataFrame, labels: DataFrame, vectors, max_train: int = MAX_TRAIN):
     """Network fitted on labelled documents: labels is (doc_id, label), already without held-out rows."""
     sample = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_train rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("h", F.xxhash64("text"))
+    # a doc_id may repeat: equal texts count once, and of all that remain at most max_train are taken
+    rows = rows.dropDuplicates(["doc_id", "label", "h"]).orderBy(F.xxhash64("doc_id"), "doc_id", "label", "h").limit(max_train).drop("h")
 
     def pooled(data, off):
         return pa.array(list(pool(data, off, vectors.value).astype(np.float32)), pa.list_(pa.float32()))

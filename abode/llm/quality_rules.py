@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from abode.llm.columns import ROW, carried, kept, restored
+
 # Common function words of English, French, German and Spanish.
 STOP_WORDS = (
     "the", "of", "and", "to", "in", "is", "that", "for", "it", "as", "with", "was", "on", "be", "by", "at", "or", "an", "this",
@@ -68,14 +70,15 @@ def _covered(starts: str) -> Column:
     return F.aggregate(F.coalesce(F.col(starts), F.array().cast("array<int>")), zero, step)["n"]
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts of ``COUNTS`` (long). Helper columns start with ``_qr_`` and are dropped.
+def measure(df: DataFrame, text: str = "text", also: tuple = ()) -> DataFrame:
+    """Add the counts of ``COUNTS`` (long); columns of those names, or of ``also``, in any case, are replaced.
 
     The array columns are built in steps, each read more than once by the next, so the
     optimizer keeps them as columns and no lambda re-evaluates them per element.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    keep = [c for c in df.columns if c not in COUNTS]
+    t = F.coalesce(F.col("_qr_text"), F.lit(""))
+    columns = kept(df, (*COUNTS, *also))
+    df, keep = carried(df, columns, _qr_text=F.col(f"`{text}`")), [ROW]
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     a = df.select(*keep,
                   F.array_remove(F.split(t, SPACE), "").alias("_qr_words"),
@@ -96,15 +99,15 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     c = b.select(*keep, *counts, F.sort_array(F.transform(twice, lambda x: x["p"])).alias("_qr_starts"))
     measured = F.struct(*counts, _covered("_qr_starts").cast("long").alias("n_repeat_words"))
     # a generated row: a filter on the counts stays above it instead of repeating their expressions
-    return c.select(*keep, F.inline(F.array(measured)))
+    return restored(c.select(*keep, F.inline(F.array(measured))), columns, *[F.col(n) for n in (*counts, "n_repeat_words")])
 
 
 def apply_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """Add counts, ``base_failed``, ``failed_rules`` (array of names) and ``kept``."""
-    m = measure(df, text)
+    verdicts = ("base_failed", "failed_rules", "kept")
+    m = measure(df, text, verdicts)
     names = F.array(*[F.when(F.expr(rule_failed_sql(r)), F.lit(r[0])) for r in rules])
-    keep = [c for c in m.columns if c not in ("base_failed", "failed_rules", "kept")]
-    m = m.select(*keep, F.expr(base_failed_sql()).alias("base_failed"), F.array_compact(names).alias("failed_rules"))
+    m = m.select(*[F.col(f"`{c}`") for c in m.columns], F.expr(base_failed_sql()).alias("base_failed"), F.array_compact(names).alias("failed_rules"))
     return m.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 

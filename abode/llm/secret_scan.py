@@ -34,9 +34,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from abode.llm.arrowtext import by_bytes, released, utf8
+from abode.llm.columns import ROW, carried, kept, restored
 
 
 class Rule(NamedTuple):
@@ -58,7 +60,8 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]+", 35),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+SHORT_WALK = 32  # bytes after which a walk without acceptance remembers its way, so that later ones do not repeat it
 
 
 class Automaton(NamedTuple):
@@ -245,20 +248,28 @@ class Scanner:
         for r, (table, accepting, dead) in enumerate(self.single):
             i, n, least = 0, len(text), self.rules[r].least
             first = table[0]
+            lost: set[int] = set()  # (place, state) from which nothing is accepted any more, on long walks
             while i < n:
                 if first[text[i]] == dead:
                     i += 1
                     continue
-                s, j, end, run = 0, i, -1, 0
+                s, j, end, run, trail = 0, i, -1, 0, []
                 while j < n:
                     s = table[s][text[j]]
                     j += 1
                     if accepting[s]:
                         end, run = j, run + 1
+                        trail.clear()
                     elif s == dead:
                         break
                     else:
                         run = 0
+                        if j - max(i, end) > SHORT_WALK:
+                            at = j * len(table) + s
+                            if at in lost:
+                                break
+                            trail.append(at)
+                lost.update(trail)
                 if end < 0:
                     i += 1
                     continue
@@ -315,25 +326,26 @@ def redacted(text: str, spans, rules=RULES) -> str:
 
 def find_secrets(df: DataFrame, text: str = "text", rules=RULES, redact: bool = False) -> DataFrame:
     """Add ``secrets``, sorted by start and rule; with ``redact`` also mask them in ``text``."""
-    keep = [f for f in df.schema.fields if f.name != "secrets"]
-    names = [f.name for f in keep]
-
+    columns = kept(df, ("secrets", text))
+    order = [c for c in df.columns if c.lower() != "secrets"]
+    rows = carried(df, columns, text=F.col(f"`{text}`"))
     automaton = scanner(rules)  # compiled once, on the driver; its arrays go to the tasks with the function
 
     def run(batches):
         for batch in batches:
-            data, off = utf8(batch.column(batch.schema.get_field_index(text)))
+            data, off = utf8(batch.column(1))
             for a, b in by_bytes(off, BATCH_BYTES):
                 part = off[a:b + 1]
                 spans = automaton.scan(data[part[0]:part[-1]], part - part[0])
-                rows = batch.slice(a, b - a).select(names)
-                columns = dict(zip(names, rows.columns))
+                texts = batch.column(1).slice(a, b - a)
                 if redact and spans:
-                    texts = columns[text].to_pylist()
+                    said = texts.to_pylist()
                     for row, found in spans.items():
-                        texts[row] = redacted(texts[row], found, rules)
-                    columns[text] = pa.array(texts, columns[text].type)
+                        said[row] = redacted(said[row], found, rules)
+                    texts = pa.array(said, texts.type)
                 values = [[{"kind": rules[r].kind, "start": i, "end": j} for i, j, r in spans.get(k, ())] for k in range(b - a)]
-                yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(values, _ARROW)], names=[*names, "secrets"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), texts, pa.array(values, _ARROW)], names=[ROW, "text", "secrets"])
 
-    return df.mapInArrow(released(run), T.StructType([*keep, T.StructField("secrets", SECRETS)]))
+    out = rows.mapInArrow(released(run), T.StructType([rows.schema[ROW], rows.schema["text"], T.StructField("secrets", SECRETS)]))
+    found = restored(out, columns, F.col("text").alias(text), F.col("secrets"))
+    return found.select(*[F.col(f"`{c}`") for c in order], "secrets")

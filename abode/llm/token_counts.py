@@ -22,9 +22,11 @@ import os
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from abode.llm.arrowtext import by_bytes, strings, utf8
+from abode.llm.columns import ROW, carried, kept, restored
 
 BATCH_BYTES = 8 << 20
 CACHE_PIECES = 1 << 19
@@ -92,9 +94,9 @@ def _piece_lengths(model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Add ``n_bytes`` and ``n_tokens`` (long) of ``text`` under the tokenizer file ``path``."""
-    keep = [f for f in df.schema.fields if f.name not in ("n_bytes", "n_tokens")]
-    schema = T.StructType(keep + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    names = [f.name for f in keep]
+    columns = kept(df, ("n_bytes", "n_tokens"))
+    rows = carried(df, columns, text=F.col(f"`{text}`"))
+    schema = T.StructType([rows.schema[ROW], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     model_file = path.endswith(".model")
 
     def run(batches):
@@ -105,13 +107,12 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", batch_bytes: int
             model = _Counter(path)
         count = _piece_lengths if model_file else _bpe_lengths
         for batch in batches:
-            data, off = utf8(batch.column(batch.schema.get_field_index(text)))
+            data, off = utf8(batch.column(1))
             for a, b in by_bytes(off, batch_bytes):
                 part = off[a:b + 1]
                 n = count(model, data[part[0]:part[-1]], part - part[0])
-                rows = batch.slice(a, b - a).select(names)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(part)), pa.array(n)],
-                                                 names=[*names, "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(part)), pa.array(n)],
+                                                 names=[ROW, "n_bytes", "n_tokens"])
 
     # the text itself need not come back when the caller drops it: select before the call
-    return df.mapInArrow(run, schema)
+    return restored(rows.mapInArrow(run, schema), columns, F.col("n_bytes"), F.col("n_tokens"))

@@ -8,13 +8,17 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from abode.llm import registry, turn_repair, url_filter, vector_codes
+from abode.llm import (imatch, mixing, ngram_join, piece_sampling, quality_model, quality_rules, registry, secret_scan, token_counts,
+                       turn_repair, url_filter, vector_codes)
+from abode.llm.arrowtext import utf8
 from tests.conftest import SF0001
+from tests.llm.helpers import edge_docs
 
 registry.load_all()
 
@@ -315,3 +319,102 @@ def test_equal_vectors_only(spark):
     df = spark.createDataFrame([(i, [0.25] * 16, None) for i in range(200)], "vec_id long, embedding array<float>, label int")
     out, _ = vector_codes.encode(df)
     assert {(bytes(r.code), r.error, r.label_error) for r in out.collect()} == {(bytes(16), 0, 0)}
+
+
+# names, all operators ------------------------------------------------------------------------
+
+def _pieces():
+    return token_counts.tokenizer_path("piece_bpe_32k.model")
+
+
+BY_OPERATOR = {
+    "quality_model": lambda d: quality_model.score(d, d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("label"))),
+    "mixing": lambda d: mixing.emit(mixing.mix(d.withColumn("words", mixing.word_count(F.col("text"))), size="words")),
+    "mixing_to": lambda d: mixing.emit_to(d, mixing.mix(d.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.row_identity(d).alias("_mx_id")), ties=("_mx_id",))),
+    "quality_rules": quality_rules.apply_rules,
+    "encode": lambda d: piece_sampling.decode(piece_sampling.encode(d, _pieces()), _pieces()),
+    "encode_and_check": lambda d: piece_sampling.encode_and_check(d, _pieces()),
+    "token_counts": lambda d: token_counts.count_tokens(d, token_counts.tokenizer_path("byte_bpe_50k.json")),
+    "secret_scan": lambda d: secret_scan.find_secrets(d, redact=True),
+    "ngram_join": lambda d: ngram_join.one_of_each_group(d),
+}
+
+
+@pytest.mark.parametrize("operator", sorted(BY_OPERATOR))
+def test_clashing_names_in_any_case(spark, operator):
+    names = ["Score", "TARGET", "N_WORDS", "IDS", "N_Tokens", "Secrets", "_qr_words", "_mx_k", "_mx_size", "_sp_key", "_row", "Lossless", "value", "key", "size", "H"]
+    docs = edge_docs(spark).where("doc_id in (3, 6, 7, 14) or doc_id is null")
+    plain = BY_OPERATOR[operator](docs)
+    clashing = docs.select("*", *[F.lit("kept as is").alias(n) for n in names])
+    out = BY_OPERATOR[operator](clashing)
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    rows = out.collect()
+    added = [c for c in plain.columns if c not in docs.columns]
+    passed = [n for n in names if n.lower() not in {c.lower() for c in added}]
+    assert all(r[n] == "kept as is" for r in rows for n in passed if n in out.columns)
+    if operator not in ("quality_model", "mixing", "mixing_to", "ngram_join"):  # their results follow whole rows, or are fitted
+        assert sorted(map(repr, ([r[c] for c in plain.columns] for r in rows))) == sorted(map(repr, ([r[c] for c in plain.columns] for r in plain.collect())))
+
+
+# 6 and 10 again ------------------------------------------------------------------------------
+
+def test_fingerprints_against_loops():
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (1, 3, 40, 400, 3000)] + ["", "none of these"]
+    word = {w: imatch._terms(*utf8(pa.array([w])))[0][0] for w in vocabulary}
+    held = set(vocabulary[:3000])
+    lex = np.sort(np.array([word[w] for w in held], np.uint64))
+    mix = lambda h, salt: int(imatch.mix64(np.array([h], np.uint64) ^ imatch.mix64(np.array([salt], np.uint64)))[0])
+    members = [set() for _ in range(imatch.SUBSETS)]
+    for w in held:
+        home = mix(word[w], imatch.SUBSETS + 1) % (imatch.SUBSETS // len(imatch.ONE_IN)) * len(imatch.ONE_IN)
+        for j, subset in enumerate(members):
+            if home == j or mix(word[w], j + 1) % imatch.ONE_IN[j % len(imatch.ONE_IN)] == 0:
+                subset.add(w)
+    got = imatch.fingerprints(*utf8(pa.array(texts, pa.large_string())), lex)
+    for text, f in zip(texts, got):
+        groups = [sorted(int(word[w]) for w in set(text.split()) & subset) for subset in members]
+        if not any(groups):
+            assert f.startswith("=")
+            continue
+        entries = f.split(".")
+        assert [e == "-" for e in entries] == [not g for g in groups]
+        by_group = {}
+        for e, g in zip(entries, groups):
+            assert by_group.setdefault(tuple(g), e) == e
+        assert len(set(by_group.values())) > 0.9 * len(by_group)
+
+
+def test_edited_texts_are_nearer_than_the_next(spark):
+    rows = imatch.compare_with_next(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where(F.size(F.split("text", " ")) >= 20)).collect()
+    assert np.mean([r.near_edited > r.near_next for r in rows]) > 0.9
+
+
+def test_every_rule_against_its_regex():
+    rng = np.random.default_rng(6)
+    bits = ["ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "eyJ", "eyJhbGciOi", ".", "-", "_", "AIza", "a" * 36, "B7" * 18, "0" * 20, "1234567890-", "abcDEF123", " ", "\n", "é",
+            "-----BEGIN ", "RSA ", "OPENSSH ", "PRIVATE KEY-----", "AKIA", "Z" * 16, "token=", "secretvalue", '"', "f" * 24]
+    texts = ["".join(rng.choice(bits, rng.integers(1, 14))) for _ in range(4000)]
+    found = secret_scan.scanner().scan(*utf8(pa.array(texts, pa.large_string())))
+    seen = set()
+    for k, text in enumerate(texts):
+        for r, rule in enumerate(secret_scan.RULES):
+            if rule.kind in secret_scan.BASE_KINDS:
+                continue  # compared with the contract's regexes elsewhere
+            prefix = {"github": 4, "slack": 5, "google": 4}
+            want = [(m.start(), m.end()) for m in re.finditer(rule.regex, text)
+                    if (len(m[0].rsplit(".", 1)[1]) if rule.kind == "jwt" else len(m[0]) - prefix.get(rule.kind, 0)) >= rule.least]
+            assert [(i, j) for i, j, x in found.get(k, []) if x == r] == want, (rule.kind, text)
+            seen |= {rule.kind} if want else set()
+    assert seen == {r.kind for r in secret_scan.RULES} - set(secret_scan.BASE_KINDS)
+
+
+def test_long_walks_without_a_match_are_not_repeated():
+    import time
+    times = []
+    for n in (20_000, 80_000):
+        began = time.time()
+        assert not secret_scan.scanner().scan(*utf8(pa.array(["a" * 20 + " " + "eyJ" * n])))
+        times.append(time.time() - began)
+    assert times[1] < 12 * times[0] + 1
