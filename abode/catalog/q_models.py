@@ -10,6 +10,7 @@ from abode.catalog.sqltext import hash_u, price_dataset_sql, price_features_sql,
 from abode.config import CREDIT, PRICE, SEARCH
 from abode.operators import encode as K
 from abode.operators import metrics as M
+from abode.operators import model_store as ST
 from abode.operators import models as MD
 from abode.operators import search as SR
 from abode.operators.split import hash_uniform, two_way_split
@@ -163,6 +164,36 @@ def k08(spark, sf_dir):
     return MD.batch_score(loaded, val, PRICE["inference_columns"])
 
 
+def _mean_pipelines(train):
+    """City means and the overall mean of the train prices as pipelines: name -> (pipeline, columns it needs)."""
+    from pyspark.ml.feature import SQLTransformer
+    labelled = train.withColumnRenamed("price_value", "label")
+    means = K.SmoothedTargetEncoder(inputCols=["city_slug"], smoothing=0.0, mode="additive").fit(labelled)
+    as_prediction = SQLTransformer(statement="SELECT *, city_slug_te AS prediction FROM __THIS__")
+    overall = SQLTransformer(statement=f"SELECT *, CAST({means.getOrDefault('prior')!r} AS DOUBLE) AS prediction FROM __THIS__")
+    pipelines = {"city_mean": PipelineModel(stages=[means, as_prediction]), "global_mean": PipelineModel(stages=[overall])}
+    return {name: (p, ["city_slug"]) for name, p in pipelines.items()}
+
+
+@register("k09_score_by_task_model", with_listings(_SPLIT_SQL + """,
+cm AS (SELECT city_slug, avg(price_value) AS city_mean FROM s WHERE split = 'train' GROUP BY city_slug),
+g AS (SELECT avg(price_value) AS gm FROM s WHERE split = 'train')
+SELECT listing_id, 'city_mean' AS model, round(coalesce(city_mean, gm), 2) AS prediction FROM s LEFT JOIN cm USING (city_slug) CROSS JOIN g WHERE split = 'val'
+UNION ALL SELECT listing_id, 'global_mean' AS model, round(gm, 2) AS prediction FROM s CROSS JOIN g WHERE split = 'val'"""))
+def k09(spark, sf_dir):
+    """K9: pipelines resolved in the model store by (task, model), one prediction per row."""
+    store = scratch_path(spark, "model-store")
+    d = _split_features(spark, sf_dir)
+    for name, (pipeline, columns) in _mean_pipelines(d.where(F.col("split") == "train")).items():
+        ST.publish(spark, store, "price", name, pipeline, columns)
+    val = d.where(F.col("split") == "val").select("listing_id", "city_slug")
+    out = None
+    for name in ("city_mean", "global_mean"):
+        scored = ST.score(spark, store, "price", name, val).select("listing_id", F.lit(name).alias("model"), F.round("prediction", 2).alias("prediction"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 SCENARIOS = [
     {"scenario": "bigger", "set": {"building_size": 150.0}},
     {"scenario": "no_city", "set": {"city_slug": None}},

@@ -19,12 +19,12 @@ def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left", bounded
     return big.join(F.broadcast(small) if bounded else small, on=on, how=how)
 
 
-def frequent_levels(fit_df: DataFrame, cols: Sequence[str], min_freq: float = 0.01) -> dict:
-    """E1 fit: per column, the levels whose share of non-null rows is at least ``min_freq``.
+def frequent_levels(fit_df: DataFrame, cols: Sequence[str], min_freq: float = 0.01) -> dict[str, Column]:
+    """E1 fit: per column, the array of levels whose share of non-null rows is at least ``min_freq``.
 
-    One unpivot + one aggregate for all columns. A column has at most ``1/min_freq``
-    frequent levels, so the fitted vocabulary (like a ``StringIndexer``'s labels) is a
-    proven-small list brought to the driver.
+    One unpivot + one aggregate for all columns, as one scalar subquery of the plan that uses it: no job
+    runs while that plan is built, and nothing comes to the driver. A column has at most ``1/min_freq``
+    frequent levels, so the arrays are small whatever the table.
     """
     if not 0 < min_freq <= 1:
         raise ValueError("min_freq must lie in (0, 1]: it bounds the vocabulary to 1 / min_freq levels a column")
@@ -35,16 +35,15 @@ def frequent_levels(fit_df: DataFrame, cols: Sequence[str], min_freq: float = 0.
     totals = counts.groupBy("column_name").agg(F.sum("_cnt").alias("_tot"))
     freq = counts.join(F.broadcast(totals), "column_name").where(
         F.col("_cnt") / F.col("_tot") >= F.lit(float(min_freq)))
-    out = {c: [] for c in cols}
-    for r in freq.select("column_name", "_lvl").collect():
-        out[r["column_name"]].append(r["_lvl"])
-    return out
+    held = freq.agg(F.struct(*[F.sort_array(F.collect_set(F.when(F.col("column_name") == c, F.col("_lvl")))).alias(f"l{i}")
+                               for i, c in enumerate(cols)]).alias("levels")).scalar()
+    return {c: held.getField(f"l{i}") for i, c in enumerate(cols)}
 
 
-def collapse_rare(df: DataFrame, vocab: dict, other: str = "Other") -> DataFrame:
+def collapse_rare(df: DataFrame, vocab: dict[str, Column], other: str = "Other") -> DataFrame:
     """E1 apply: levels outside the fitted vocabulary -> ``other``; null stays null."""
     return df.withColumns({
-        c: F.when(F.col(c).isNull(), F.lit(None).cast("string")).when(F.col(c).isin(*levels), F.col(c))
+        c: F.when(F.col(c).isNull(), F.lit(None).cast("string")).when(F.array_contains(levels, F.col(c).cast("string")), F.col(c))
         .otherwise(F.lit(other)) for c, levels in vocab.items()})
 
 

@@ -104,6 +104,9 @@ def prepare_price_dataset(df: DataFrame, cfg: dict = PRICE, exact: bool = False,
     return fill_location(data)
 
 
+STATISTICS = ("floor_mode", "total_floors_mode", "lat_mean", "lon_mean")
+
+
 def fit_price_statistics(train: DataFrame) -> dict:
     """Statistics the scoring path needs, fitted on the prepared train split.
 
@@ -124,6 +127,18 @@ def fit_price_statistics(train: DataFrame) -> dict:
             "lon_mean": row["lon"], "cities": cities}
 
 
+def save_price_statistics(spark, stats: dict, path: str) -> None:
+    """Write fitted statistics: one row of scalars and the table of cities."""
+    row = tuple(None if stats[k] is None else float(stats[k]) for k in STATISTICS)
+    spark.createDataFrame([row], ", ".join(f"{k} double" for k in STATISTICS)).coalesce(1).write.mode("overwrite").parquet(f"{path}/scalars")
+    stats["cities"].write.mode("overwrite").parquet(f"{path}/cities")
+
+
+def load_price_statistics(spark, path: str) -> dict:
+    """Statistics that ``save_price_statistics`` wrote."""
+    return spark.read.parquet(f"{path}/scalars").first().asDict() | {"cities": spark.read.parquet(f"{path}/cities")}
+
+
 def apply_price_statistics(feats: DataFrame, stats: dict, cfg: dict = PRICE) -> DataFrame:
     """Scoring-path preparation of P1 features with fitted train statistics (works on streams:
     literals plus a stream-static left join on the city table)."""

@@ -34,3 +34,29 @@ def test_queries_match_sql(spark):
         got = E.queries()[name](spark, SF0001)
         want = con.execute(E.oracle_sql()[name]).df()[got.columns]
         assert sorted(map(tuple, got.collect())) == sorted(want.itertuples(index=False, name=None)) and len(want)
+
+
+def test_all_targets_at_once_against_all_pairs(spark):
+    import math
+    import random
+    from abode.operators.geo import similar_neighbourhoods
+    rng = random.Random(5)
+    rows = [(f"n{i % 60}", f"c{i // 60}", 1, rng.gauss(0, 1) + 5 * (i % 3), rng.gauss(80, 20), 35 + rng.random() / 10, 51 + rng.random()) for i in range(150)]
+    rows += [("far", "c9", 1, 900.0, 80.0, 35.0, 51.0), ("twin", "c1", 1, 1.0, 80.0, 35.0, 51.0), ("twin", "c2", 1, 1.0, 80.0, 35.0, 51.0), ("gap", "c1", 1, None, 80.0, 35.0, 51.0)]
+    p = spark.createDataFrame(rows, "neighborhood_slug string, city_slug string, n_listings long, price_per_m2 double, mean_size double, lat double, lon double")
+    got = {}
+    for r in similar_neighbourhoods(p, None, k=4).collect():
+        got.setdefault((r.target_city, r.target), []).append((r["rank"], r.neighbour, r.neighbour_city, r.distance))
+    full = [r for r in rows if r[3] is not None]
+    means = [sum(r[j] for r in rows if r[j] is not None) / sum(r[j] is not None for r in rows) for j in range(3, 7)]
+    stds = [math.sqrt(sum((r[j] - m) ** 2 for r in rows if r[j] is not None) / (sum(r[j] is not None for r in rows) - 1)) for j, m in zip(range(3, 7), means)]
+    z = [(r[1], r[0], [(r[j] - m) / s for j, m, s in zip(range(3, 7), means, stds)]) for r in full]
+    assert set(got) == {(c, s) for c, s, _ in z}
+    for c, s, v in z:
+        near = sorted((math.dist(v, w), s2, c2) for c2, s2, w in z if (c2, s2) != (c, s))[:4]
+        mine = sorted(got[c, s])
+        assert [m[0] for m in mine] == [1, 2, 3, 4]
+        assert all(math.isclose(m[3], d, rel_tol=1e-9, abs_tol=1e-12) for m, (d, _, _) in zip(mine, near))
+    assert similar_neighbourhoods(p, ["nowhere"]).count() == 0
+    few = similar_neighbourhoods(p.where("neighborhood_slug in ('far', 'twin')"), ["far"], k=5).collect()
+    assert [r["rank"] for r in few] == [1, 2]
