@@ -123,16 +123,60 @@ def k04(spark, sf_dir):
                       F.round("city_slug_te", 2).alias("city_slug_te"))
 
 
+def _encoded_te(alias: str, c: str) -> str:
+    """Target encoding of column ``c`` of the val rows ``alias``, as SQL."""
+    return (f"coalesce((SELECT prior * (1 - w) + m * w FROM (SELECT {c} AS lvl, avg(price_value) AS m, 1.0 / (1.0 + exp(-(count(*) - 20.0) / 10.0)) AS w "
+            f"FROM s WHERE split = 'train' GROUP BY {c}) x, prior WHERE x.lvl IS NOT DISTINCT FROM {alias}.{c}), (SELECT prior FROM prior))")
+
+
+_ENC = PRICE["encoding"]
+_FEATURES_SQL = f"""WITH s AS MATERIALIZED ({price_dataset_sql()}),
+prior AS (SELECT avg(price_value) AS prior FROM s WHERE split = 'train'),
+v AS (SELECT * FROM s WHERE split = 'val')"""
+
+
+@register("k04b_feature_vector", _FEATURES_SQL + "\nSELECT * FROM (" + "\nUNION ALL\n".join(
+    [f"SELECT listing_id, '{c}' AS feature, round({c}::DOUBLE, 4) AS value FROM v WHERE {c} <> 0" for c in PRICE_NUMERIC]
+    + [f"SELECT listing_id, '{c}_te' AS feature, round({_encoded_te('v', c)}, 2) AS value FROM v" for c in TE_COLS]
+    + [f"SELECT listing_id, '{c}_code' AS feature, round(coalesce(CAST({c} AS INTEGER), -1)::DOUBLE, 2) AS value FROM v WHERE coalesce(CAST({c} AS INTEGER), -1) <> 0"
+       for c in _ENC["boolean_columns"]]
+    + [f"SELECT listing_id, '{c}=' || coalesce(CAST({c} AS VARCHAR), '{K.NULL_LEVEL}') AS feature, 1.0::DOUBLE AS value FROM v "
+       f"WHERE EXISTS (SELECT 1 FROM s WHERE split = 'train' AND s.{c} IS NOT DISTINCT FROM v.{c})" for c in _ENC["categorical_columns"]]) + ") u")
+def k04b(spark, sf_dir):
+    """K4: every slot of the assembled vectors of the val rows that is not 0, by name."""
+    d = _price_data(spark, sf_dir).withColumnRenamed("price_value", "label")
+    fitted = K.feature_pipeline(PRICE, PRICE_NUMERIC, "label").fit(d.where(F.col("split") == "train"))
+    out = K.features_long(fitted.transform(d.where(F.col("split") == "val")), K.feature_names(fitted, PRICE, PRICE_NUMERIC), "listing_id")
+    return out.select("listing_id", "feature", F.when(F.col("feature").endswith("_te"), F.round("value", 2)).otherwise(F.round("value", 4)).alias("value"))
+
+
+@register("f05_columns_side_by_side", _FEATURES_SQL + "\nSELECT listing_id, " + ", ".join(
+    [f"round({c}::DOUBLE, 4) AS {c}" for c in PRICE_NUMERIC] + [f"round({_encoded_te('v', c)}, 2) AS {c}_te" for c in TE_COLS]
+    + [f"coalesce(CAST({c} AS INTEGER), -1) AS {c}_code" for c in _ENC["boolean_columns"]]
+    + [f"coalesce(CAST({c} AS VARCHAR), '{K.NULL_LEVEL}') AS {c}_lvl" for c in _ENC["categorical_columns"]]) + " FROM v")
+def f05(spark, sf_dir):
+    """the encoders' columns beside the numeric ones, one frame and one row per listing, without a join by index."""
+    d = _price_data(spark, sf_dir).withColumnRenamed("price_value", "label")
+    fitted = K.feature_pipeline(PRICE, PRICE_NUMERIC, "label").fit(d.where(F.col("split") == "train"))
+    out = fitted.transform(d.where(F.col("split") == "val"))
+    return out.select("listing_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in PRICE_NUMERIC],
+                      *[F.round(f"{c}_te", 2).alias(f"{c}_te") for c in TE_COLS],
+                      *[f"{c}_code" for c in _ENC["boolean_columns"]], *[f"{c}_lvl" for c in _ENC["categorical_columns"]])
+
+
 def _price_data(spark, sf_dir):
     """The prepared price dataset, written once: model fits run many jobs over it."""
     return materialize(prepare_price_dataset(listing_view(spark, sf_dir)), "price-prepared", "split")
 
 
-def _trained(spark, sf_dir, *names, presets=None):
+def _fitted(data, *names, presets=None):
     """Models of the task's own presets, or of those given; all of them, or those named."""
     presets = PRICE["models"] if presets is None else presets
-    return MD.train_and_evaluate(_price_data(spark, sf_dir), PRICE, {n: presets[n] for n in names or presets}, PRICE_NUMERIC,
-                                 eval_splits=("val",))
+    return MD.train_and_evaluate(data, PRICE, {n: presets[n] for n in names or presets}, PRICE_NUMERIC, eval_splits=("val",))
+
+
+def _trained(spark, sf_dir, *names, presets=None):
+    return _fitted(_price_data(spark, sf_dir), *names, presets=presets)
 
 
 @register("k07_train_evaluate")
@@ -156,11 +200,12 @@ def k06(spark, sf_dir):
 @register("k08_pipeline_save_load_score")
 def k08(spark, sf_dir):
     """A6 + K8 + K9: fit encoders+forest once, save, reload, batch-score val rows."""
-    models, _, _ = _trained(spark, sf_dir, "random_forest")
+    data = _price_data(spark, sf_dir)
+    models, _, _ = _fitted(data, "random_forest")
     path = scratch_path(spark, "price-rf-pipeline")
     models["random_forest"].write().overwrite().save(path)
     loaded = PipelineModel.load(path)
-    val = _price_data(spark, sf_dir).where(F.col("split") == "val")
+    val = data.where(F.col("split") == "val")
     return MD.batch_score(loaded, val, PRICE["inference_columns"])
 
 
@@ -215,10 +260,27 @@ def k10(spark, sf_dir):
     return MD.apply_scenarios(f, SCENARIOS).select("listing_id", "scenario", "building_size", "city_slug", "building_age")
 
 
+@register("k10c_what_if_scores_of_means", with_listings(_SPLIT_SQL + """,
+cm AS (SELECT city_slug AS c, avg(price_value) AS city_mean FROM s WHERE split = 'train' GROUP BY city_slug),
+g AS (SELECT avg(price_value) AS gm FROM s WHERE split = 'train'),
+x AS (SELECT listing_id, price_value, sc.scenario, CASE WHEN sc.set_city THEN NULL ELSE city_slug END AS city
+      FROM s CROSS JOIN (VALUES ('bigger', FALSE), ('no_city', TRUE), ('new_building', FALSE)) sc(scenario, set_city) WHERE split = 'val'),
+y AS (SELECT listing_id, scenario, 'city_mean' AS model, coalesce(city_mean, gm) AS prediction, price_value AS actual FROM x LEFT JOIN cm ON x.city = cm.c CROSS JOIN g
+      UNION ALL SELECT listing_id, scenario, 'global_mean' AS model, gm AS prediction, price_value AS actual FROM x CROSS JOIN g)
+SELECT listing_id, scenario, model, round(prediction, 2) AS prediction, actual, round(100.0 * (prediction - actual) / actual, 6) AS pct_error FROM y"""))
+def k10c(spark, sf_dir):
+    """K10 scores: scenarios scored by two pipelines whose predictions SQL can compute."""
+    d = _split_features(spark, sf_dir)
+    models = {name: p for name, (p, _) in _mean_pipelines(d.where(F.col("split") == "train")).items()}
+    out = MD.what_if(models, d.where(F.col("split") == "val"), SCENARIOS, ["building_size", "city_slug", "building_age"], "price_value")
+    return out.select("listing_id", "scenario", "model", F.round("prediction", 2).alias("prediction"), "actual", F.round("pct_error", 6).alias("pct_error"))
+
+
 @register("k10b_what_if_scores")
 def k10b(spark, sf_dir):
-    models, _, _ = _trained(spark, sf_dir, "random_forest")
-    val = _price_data(spark, sf_dir).where(F.col("split") == "val")
+    data = _price_data(spark, sf_dir)
+    models, _, _ = _fitted(data, "random_forest")
+    val = data.where(F.col("split") == "val")
     return MD.what_if(models, val, SCENARIOS, PRICE["inference_columns"], "price_value")
 
 

@@ -41,6 +41,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from abode.operators.spread import hot_keys, spread_join
 from abode.session import cut_lineage, materialize
 
 # Cells are a hair smaller than eps / sqrt(2) so rounding in x / side can never place two
@@ -114,8 +115,10 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, x: str, y: str, key: str
     loc = (pts.groupBy(x, y).agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("pid"))
            .withColumn("u", F.col(x) / F.lit(side)).withColumn("v", F.col(y) / F.lit(side))
            .withColumn("cx", F.floor("u")).withColumn("cy", F.floor("v")))
-    cells = loc.groupBy("cx", "cy").agg(F.sum("w").alias("cw"), F.count(F.lit(1)).alias("cn"))
-    loc = materialize(loc.join(cells, ["cx", "cy"]).withColumn("dense", F.col("cw") >= min_samples), "dbscan-loc")
+    cells = materialize(loc.groupBy("cx", "cy").agg(F.sum("w").alias("cw"), F.count(F.lit(1)).alias("cn")), "dbscan-cells")
+    hot = hot_keys(cells, ["cx", "cy"], "cn")  # cells of very many locations: their rows are dealt out in every join
+    loc = spread_join(loc, cells, ["cx", "cy"], hot, ["pid"])
+    loc = materialize(loc.withColumn("dense", F.col("cw") >= min_samples), "dbscan-loc")
 
     # 3. Pairs with a sparse end: sparse location -> locations of the 24 surrounding cells.
     sp = loc.where(~F.col("dense")).select(
@@ -124,7 +127,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, x: str, y: str, key: str
     sp = sp.select("*", (F.col("pcx") + F.col("o.dx")).alias("cx"), (F.col("pcy") + F.col("o.dy")).alias("cy")).drop("o")
     q = loc.select("cx", "cy", F.col("pid").alias("q"), F.col(x).alias("qx"), F.col(y).alias("qy"),
                    F.col("w").alias("qw"), F.col("dense").alias("q_dense"))
-    pairs = (sp.join(q, ["cx", "cy"]).where(_dist_ok(F.col("px"), F.col("py"), F.col("qx"), F.col("qy"), eps))
+    pairs = (spread_join(q, sp, ["cx", "cy"], hot, ["q"]).where(_dist_ok(F.col("px"), F.col("py"), F.col("qx"), F.col("qy"), eps))
              .select("p", "pcx", "pcy", "pcw", "q", "cx", "cy", "qw", "q_dense"))
     pairs = materialize(pairs, "dbscan-pairs")
 
@@ -159,7 +162,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, x: str, y: str, key: str
         "cx", "cy", F.coalesce("component", "vid").alias("component"))
     cell_comp = materialize(cell_comp, "dbscan-comp")
 
-    core_lab = core.join(cell_comp, ["cx", "cy"]).select("pid", F.col("component").alias("cluster"))
+    core_lab = spread_join(core, cell_comp, ["cx", "cy"], hot, ["pid"]).select("pid", F.col("component").alias("cluster"))
     # Border labels: smallest component among core neighbours, in the own cell (all within
     # eps) or through a pair with a sparse end.
     noncore = loc.where(~F.col("is_core")).select("pid", "cx", "cy")
@@ -168,10 +171,10 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, x: str, y: str, key: str
            .join(cell_comp, ["cx", "cy"]).select(F.col("p").alias("pid"), "component"))
     border = own.unionByName(via).groupBy("pid").agg(F.min("component").alias("cluster"))
     labels = core_lab.unionByName(border)
-    lab = (loc.select("pid", x, y, "is_core").join(labels, "pid", "left")
-           .select(x, y, "is_core", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster")))
-    # Back to rows: one label row per location, joined on the exact coordinates.
-    return pts.join(lab, [x, y]).select(key, x, y, "is_core", "cluster")
+    lab = materialize(loc.select("pid", x, y, "w", "is_core").join(labels, "pid", "left")
+                      .select(x, y, "w", "is_core", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster")), "dbscan-labels")
+    # Back to rows: one label row per location, joined on the exact coordinates; a location of very many rows is dealt out.
+    return spread_join(pts, lab, [x, y], hot_keys(lab, [x, y], "w"), [key]).select(key, x, y, "is_core", "cluster")
 
 
 def _dense_links(dloc: DataFrame, dvert: DataFrame, eps: float, side: float, light: int, max_levels: int,
@@ -208,12 +211,17 @@ def _dense_links(dloc: DataFrame, dvert: DataFrame, eps: float, side: float, lig
         whole = c.where(F.col("mx") < F.lit(h2 * (1 - _TOL))).select("src", "dst")
         amb = c.where(F.col("mx") >= F.lit(h2 * (1 - _TOL)))
         lite = amb.where((F.col("na") < light) | (F.col("nb") < light))
+        # distances have no direction: let a be the lighter side
+        turned = F.col("na") > F.col("nb")
+        lite = lite.select("src", "dst", *[F.when(turned, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in (
+            ("ai", "bi"), ("aj", "bj"), ("bi", "ai"), ("bj", "aj"))])
         pa = pts.select(F.floor(F.col("u") * scale).alias("ai"), F.floor(F.col("v") * scale).alias("aj"),
                         F.col(x).alias("ax"), F.col(y).alias("ay"))
         pb = pts.select(F.floor(F.col("u") * scale).alias("bi"), F.floor(F.col("v") * scale).alias("bj"),
                         F.col(x).alias("bx"), F.col(y).alias("by"))
         # The light side has fewer than `light` locations: at most that many partners per location.
-        checked = (lite.join(pa, ["ai", "aj"]).join(pb, ["bi", "bj"])
+        hot = hot_keys(cb, ["bi", "bj"], "nb")
+        checked = (spread_join(pb, lite.join(pa, ["ai", "aj"]), ["bi", "bj"], hot, ["bx", "by"])
                    .where(_dist_ok(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), eps))
                    .select("src", "dst"))
         now = whole.unionByName(checked)

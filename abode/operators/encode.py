@@ -209,6 +209,21 @@ def feature_pipeline(cfg: dict, numeric_cols: Sequence[str], label: str = "label
     return Pipeline(stages=stages)
 
 
+def feature_names(fitted, cfg: dict, numeric_cols: Sequence[str]) -> list[str]:
+    """Names of the slots of ``features``, in order: numbers, target encodings, codes, then ``column=level``."""
+    enc = cfg["encoding"]
+    labels = next(s for s in fitted.stages if hasattr(s, "labelsArray")).labelsArray
+    return ([*numeric_cols] + [f"{c}_te" for c in enc["target_encoder_cols"]] + [f"{c}_code" for c in enc["boolean_columns"]]
+            + [f"{c}={level}" for c, levels in zip(enc["categorical_columns"], labels) for level in levels])
+
+
+def features_long(df: DataFrame, names: Sequence[str], key: str) -> DataFrame:
+    """K4 long form ``(key, feature, value)``: every slot of the assembled vector that is not 0."""
+    from pyspark.ml.functions import vector_to_array
+    slots = df.select(key, F.posexplode(vector_to_array("features")).alias("slot", "value")).where("value <> 0")
+    return slots.select(key, F.element_at(F.array(*[F.lit(n) for n in names]), F.col("slot") + 1).alias("feature"), "value")
+
+
 def one_hot_long(df: DataFrame, fitted_indexers, cols: Sequence[str], key: str) -> DataFrame:
     """K3 long form ``(key, column_name, level)`` for each active one-hot slot."""
     from pyspark.ml.functions import vector_to_array

@@ -20,8 +20,8 @@ LISTING_COLUMNS = [
     ("listing_id", "k"),
     ("cat2_slug", "CASE WHEN k%10<=3 THEN 'residential-sell' WHEN k%10=4 THEN 'commercial-sell' WHEN k%10=5 THEN 'real-estate-services' WHEN k%10<=8 THEN 'residential-rent' WHEN k%400=9 THEN 'short-term-rent' ELSE 'commercial-rent' END"),
     ("cat3_slug", "CASE WHEN k%23=0 THEN NULL WHEN k%10<=3 AND k%7=0 THEN 'house-villa-sell' WHEN k%10<=3 THEN 'apartment-sell' WHEN k%10=4 AND k%19=0 THEN 'office-rent' WHEN k%10=4 THEN 'office-sell' WHEN k%10=5 THEN 'presell' WHEN k%10<=8 AND k%7=0 THEN 'house-villa-rent' WHEN k%10<=8 THEN 'apartment-rent' WHEN k%500=9 THEN 'industry-agriculture-business-rent' ELSE 'shop-rent' END"),
-    ("city_slug", "CASE WHEN k%101=0 THEN NULL ELSE n_name END"),
-    ("neighborhood_slug", "CASE WHEN k%9=0 THEN NULL ELSE concat(n_name,'-',CAST(c_custkey%8 AS STRING)) END"),
+    ("city_slug", "CASE WHEN k%101=0 THEN NULL WHEN k%53=0 THEN concat('village-',CAST(k AS STRING)) ELSE n_name END"),
+    ("neighborhood_slug", "CASE WHEN k%9=0 THEN NULL WHEN k%53=0 AND k%101<>0 THEN concat('village-',CAST(k AS STRING),'-0') ELSE concat(n_name,'-',CAST(c_custkey%8 AS STRING)) END"),
     ("building_size", "CASE WHEN k%97=0 THEN NULL ELSE CAST(10+(k*7)%3100 AS DOUBLE) END"),
     ("land_size", "CASE WHEN k%5=0 THEN CAST(50+k%900 AS DOUBLE) END"),
     ("price_value", "CASE WHEN k%10<=5 THEN p*CAST(200000 AS DOUBLE) END"),
@@ -45,7 +45,7 @@ LISTING_COLUMNS = [
     ("has_sauna", "k%20=0"),
     ("is_rebuilt", "CASE WHEN k%4=3 THEN NULL ELSE k%4=0 END"),
     ("has_business_deed", "CASE WHEN k%3=2 THEN NULL ELSE k%3=0 END"),
-    ("deed_type", "CASE k%5 WHEN 1 THEN 'single_page' WHEN 2 THEN 'multi_page' WHEN 3 THEN 'written_agreement' WHEN 4 THEN 'other' END"),
+    ("deed_type", "CASE WHEN k IN (53,153,163) THEN 'inherited' ELSE CASE k%5 WHEN 1 THEN 'single_page' WHEN 2 THEN 'multi_page' WHEN 3 THEN 'written_agreement' WHEN 4 THEN 'other' END END"),
     ("floor_material", "CASE k%6 WHEN 1 THEN 'ceramic' WHEN 2 THEN 'stone' WHEN 3 THEN 'mosaic' WHEN 4 THEN 'carpet' WHEN 5 THEN 'unselect' END"),
     ("has_warm_water_provider", "CASE k%4 WHEN 1 THEN 'package' WHEN 2 THEN 'powerhouse' WHEN 3 THEN 'water_heater' END"),
     ("has_heating_system", "CASE k%5 WHEN 1 THEN 'split' WHEN 2 THEN 'heater' WHEN 3 THEN 'fan_coil' WHEN 4 THEN 'fireplace' END"),

@@ -122,3 +122,38 @@ def test_dense_cells_linked_only_through_a_deep_close_pair(spark, gap, linked):
     got = _run(spark, keys, pts[:, 0], pts[:, 1], eps, 4, light=8)
     assert got == brute_dbscan(keys, pts[:, 0], pts[:, 1], eps, 4)
     assert (got[0][1] == got[300][1]) == linked
+
+
+@pytest.mark.parametrize("hot_rows", [3, 40])
+def test_hot_cells_and_locations_are_dealt_out(spark, monkeypatch, hot_rows):
+    """Half of the rows at one location, most others in one cell: same labels, and no part of a join holds them all."""
+    from abode.operators import dbscan as D
+    from abode.operators import spread
+    monkeypatch.setattr(spread, "HOT_ROWS", hot_rows)
+    rng = np.random.default_rng(11)
+    xy = np.concatenate([np.zeros((300, 2)), rng.uniform(0, 0.06, (200, 2)), rng.uniform(0.08, 0.5, (60, 2)), rng.uniform(0.0, 0.2, (60, 2))])
+    keys = rng.permutation(len(xy)) + 1
+    parts, real = [], D.spread_join
+
+    def seen(big, small, on, hot, by, how="inner"):
+        if hot is not None:
+            dealt = big.join(hot, list(on), "left").selectExpr("coalesce(_parts, 1) AS parts")
+            parts.append(dealt.agg({"parts": "max"}).first()[0])
+        return real(big, small, on, hot, by, how)
+
+    monkeypatch.setattr(D, "spread_join", seen)
+    got = _run(spark, keys, xy[:, 0], xy[:, 1], 0.1, 5, light=8)
+    assert got == brute_dbscan(keys, xy[:, 0], xy[:, 1], 0.1, 5)
+    assert parts and max(parts) >= 300 // hot_rows
+
+
+def test_spread_join_equals_join(spark):
+    from pyspark.sql import functions as F
+    from abode.operators.spread import hot_keys, spread_join
+    big = spark.range(2000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 50).alias("k"), "id")
+    small = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    hot = hot_keys(big.groupBy("k").count(), ["k"], "count", 100)
+    assert [tuple(r) for r in hot.collect()] == [(7, 11)]
+    spread = spread_join(big, small, ["k"], hot, ["id"])
+    assert spread.count() == 2000 and spread.exceptAll(big.join(small, "k")).isEmpty()
+    assert hot_keys(big.groupBy("k").count(), ["k"], "count", 5000) is None
