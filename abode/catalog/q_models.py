@@ -136,7 +136,7 @@ v AS (SELECT * FROM s WHERE split = 'val')"""
 
 
 @register("k04b_feature_vector", _FEATURES_SQL + "\nSELECT * FROM (" + "\nUNION ALL\n".join(
-    [f"SELECT listing_id, '{c}' AS feature, round({c}::DOUBLE, 4) AS value FROM v WHERE {c} <> 0" for c in PRICE_NUMERIC]
+    [f"SELECT listing_id, '{c}' AS feature, round({c}::DOUBLE, 5) AS value FROM v WHERE {c} <> 0" for c in PRICE_NUMERIC]
     + [f"SELECT listing_id, '{c}_te' AS feature, round({_encoded_te('v', c)}, 2) AS value FROM v" for c in TE_COLS]
     + [f"SELECT listing_id, '{c}_code' AS feature, round(coalesce(CAST({c} AS INTEGER), -1)::DOUBLE, 2) AS value FROM v WHERE coalesce(CAST({c} AS INTEGER), -1) <> 0"
        for c in _ENC["boolean_columns"]]
@@ -147,11 +147,11 @@ def k04b(spark, sf_dir):
     d = _price_data(spark, sf_dir).withColumnRenamed("price_value", "label")
     fitted = K.feature_pipeline(PRICE, PRICE_NUMERIC, "label").fit(d.where(F.col("split") == "train"))
     out = K.features_long(fitted.transform(d.where(F.col("split") == "val")), K.feature_names(fitted, PRICE, PRICE_NUMERIC), "listing_id")
-    return out.select("listing_id", "feature", F.when(F.col("feature").endswith("_te"), F.round("value", 2)).otherwise(F.round("value", 4)).alias("value"))
+    return out.select("listing_id", "feature", F.when(F.col("feature").endswith("_te"), F.round("value", 2)).otherwise(F.round("value", 5)).alias("value"))
 
 
 @register("f05_columns_side_by_side", _FEATURES_SQL + "\nSELECT listing_id, " + ", ".join(
-    [f"round({c}::DOUBLE, 4) AS {c}" for c in PRICE_NUMERIC] + [f"round({_encoded_te('v', c)}, 2) AS {c}_te" for c in TE_COLS]
+    [f"round({c}::DOUBLE, 5) AS {c}" for c in PRICE_NUMERIC] + [f"round({_encoded_te('v', c)}, 2) AS {c}_te" for c in TE_COLS]
     + [f"coalesce(CAST({c} AS INTEGER), -1) AS {c}_code" for c in _ENC["boolean_columns"]]
     + [f"coalesce(CAST({c} AS VARCHAR), '{K.NULL_LEVEL}') AS {c}_lvl" for c in _ENC["categorical_columns"]]) + " FROM v")
 def f05(spark, sf_dir):
@@ -159,7 +159,7 @@ def f05(spark, sf_dir):
     d = _price_data(spark, sf_dir).withColumnRenamed("price_value", "label")
     fitted = K.feature_pipeline(PRICE, PRICE_NUMERIC, "label").fit(d.where(F.col("split") == "train"))
     out = fitted.transform(d.where(F.col("split") == "val"))
-    return out.select("listing_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in PRICE_NUMERIC],
+    return out.select("listing_id", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in PRICE_NUMERIC],
                       *[F.round(f"{c}_te", 2).alias(f"{c}_te") for c in TE_COLS],
                       *[f"{c}_code" for c in _ENC["boolean_columns"]], *[f"{c}_lvl" for c in _ENC["categorical_columns"]])
 
