@@ -80,10 +80,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_PATHS: list[str] = []  # scratch paths that this driver has given out
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/abode-{name}-{uuid.uuid4().hex[:12]}"
+    _PATHS.append(f"{base}/abode-{name}-{uuid.uuid4().hex[:12]}")
+    return _PATHS[-1]
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this driver has written so far; returns how many there were.
+
+    For the end of a job: results that are still to be computed read those tables, so write them first.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    deleted = 0
+    while _PATHS:
+        path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        deleted += bool(path.getFileSystem(conf).delete(path, True))
+    return deleted
 
 
 def cut_lineage(df, eager: bool = True):

@@ -106,3 +106,15 @@ def test_csv_with_unnamed_index(spark, tmp_path):
     assert [tuple(r) for r in rows.orderBy("city").collect()] == [("karaj", None), ("tehran", 80.0)]
     with pytest.raises(ValueError):
         read_listings_csv(spark, str(tmp_path / "x.csv"), spark.createDataFrame([], "size double, city string").schema)
+
+
+def test_scratch_tables_can_be_released(spark):
+    import os
+    from abode import session
+    table = session.materialize(spark.range(5), "release-test")
+    path = next(p for p in session._PATHS if "release-test" in p)
+    local = path.replace("file:", "")
+    assert table.count() == 5 and os.path.isdir(local)
+    kept, session._PATHS[:] = [p for p in session._PATHS if p != path], [path]
+    assert session.release_scratch(spark) == 1 and not os.path.isdir(local)
+    session._PATHS[:] = kept
