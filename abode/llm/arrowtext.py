@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,3 +54,18 @@ def released(run):
             if trim:
                 trim(0)
     return wrapped
+
+
+ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark, rows: int = 1000):
+    """Texts go to workers in batches of at most ``rows`` rows while this lasts; for functions that finish their Python stages inside it."""
+    before = spark.conf.get(ROWS_A_BATCH)
+    if int(before) <= 0 or int(before) > rows:
+        spark.conf.set(ROWS_A_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS_A_BATCH, before)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abode.llm.arrowtext import by_bytes, released, utf8
+from abode.llm.arrowtext import by_bytes, released, small_batches, utf8
 from abode.llm.wordhash import shingle_sets
 from abode.operators.dbscan import connected_components
 from abode.session import materialize
@@ -187,7 +187,11 @@ def _sizes_fit(a: str, b: str, percent: int):
 
 def components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
-    spark = docs.sparkSession
+    with small_batches(docs.sparkSession):  # all stages with Python are written in here
+        return _components(docs, k, percent)
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
     sig = materialize(signatures(rows, frequent_shingles(rows, k), k, percent), "shingle-signatures")
     nodes = materialize(sig.where("n > 0").groupBy("node", "pkey", "n").agg(F.min("doc_id").alias("id")), "shingle-nodes")
